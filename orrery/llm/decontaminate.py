@@ -15,13 +15,16 @@ repeated items are items of their own only if their ids differ.  Other columns p
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 13
-#: Largest set of windows that is broadcast: about 100 MB.
-BROADCAST_WINDOWS = 500_000
+#: Largest set of windows that is broadcast: about 10 MB.
+BROADCAST_WINDOWS = 100_000
 _ANCHOR = 3
+_HITS = "array<struct<at:int,len:int,items:array<string>>>"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,32 +56,44 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, zero, step, lambda acc: acc["n"])
 
 
+def _anchored(wins: DataFrame) -> DataFrame:
+    """The windows with the number of their first words that find them and the hash of those."""
+    n = F.least(F.size("w"), F.lit(_ANCHOR))
+    hashed = F.coalesce(*[F.when(n == k, _anchor(lambda i: F.get("w", F.lit(i)), k)) for k in range(1, _ANCHOR + 1)])
+    return wins.select("w", "items", n.alias("n"), hashed.alias("h"))
+
+
 def _hits_broadcast(docs: DataFrame, wins: DataFrame, count: int) -> DataFrame:
     """``_hits``: array of (at, len, items) in order of at, by looking up inside the row."""
-    spark = docs.sparkSession
     slots = 1 << max(10, (2 * count - 1).bit_length())
-    by_len = [r.n for r in wins.select(F.least(F.size("w"), F.lit(_ANCHOR)).alias("n")).distinct().orderBy("n").collect()]
+    entries = [(list(r.w), list(r["items"]), r.n, r.h) for r in _anchored(wins).collect()]  # at most broadcast_windows
+    by_len = sorted({n for _, _, n, _ in entries})
     if not by_len:
-        return docs.withColumn("_hits", F.array().cast("array<struct<at:int,len:int,items:array<string>>>"))
-    numbered = wins.select("w", "items", F.least(F.size("w"), F.lit(_ANCHOR)).alias("n"))
-    hashed = F.coalesce(*[F.when(F.col("n") == k, _anchor(lambda i: F.get("w", F.lit(i)), k)) for k in by_len])
-    entry = numbered.select(F.pmod(hashed, F.lit(slots)).cast("int").alias("slot"), F.struct("w", "items").alias("e"))
-    chains = entry.groupBy("slot").agg(F.array_sort(F.collect_list("e")).alias("chain"))
-    full = spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(chains, "slot", "left")
-    # the only rows that meet in one place are the windows, whose number is bounded above
-    tbl = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("chain", F.array().cast("array<struct<w:array<string>,items:array<string>>>")).alias("chain")))), lambda x: x["chain"]).alias("t")).scalar()
-    marked = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col("chain").isNotNull().alias("on")))), lambda x: x["on"]).alias("t")).scalar()
-
-    ws, found = F.col("_ws"), []
-    for k in by_len:
-        slot = lambda i, k=k: F.pmod(_anchor(lambda j: F.get(ws, i + j), k), F.lit(slots)).cast("int")
-        starts = F.when(F.size(ws) >= k, F.filter(F.sequence(F.lit(0), F.size(ws) - k), lambda i, slot=slot: F.get(marked, slot(i)))).otherwise(F.array().cast("array<int>"))
-
-        def at(i: Column, slot=slot) -> Column:
-            fits = lambda e: F.forall(F.sequence(F.lit(0), F.size(e["w"]) - 1), lambda j: F.coalesce(F.get(ws, i + j) == F.get(e["w"], j), F.lit(False)))
+        return docs.withColumn("_hits", F.array().cast(_HITS))
+    chains: list[list] = [[] for _ in range(slots)]
+    for w, items, _, h in sorted(entries):
+        chains[h % slots].append({"w": w, "items": items})
+    # folded to plain values once, in the plan, which reaches executors as a broadcast
+    tbl = F.from_json(F.lit(json.dumps(chains)), "array<array<struct<w:array<string>,items:array<string>>>>")
+    marked = F.from_json(F.lit(json.dumps([bool(c) for c in chains])), "array<boolean>")
+    ws = F.col("_ws")
+
+    def of_size(k: int) -> Column:
+        """Hits of the windows that are found by their first ``k`` words."""
+
+        def slot(i: Column) -> Column:
+            return F.pmod(_anchor(lambda j: F.get(ws, i + j), k), F.lit(slots)).cast("int")
+
+        def matches(i: Column) -> Column:
+            def fits(e: Column) -> Column:
+                return F.forall(F.sequence(F.lit(0), F.size(e["w"]) - 1), lambda j: F.coalesce(F.get(ws, i + j) == F.get(e["w"], j), F.lit(False)))
+
             return F.transform(F.filter(F.get(tbl, slot(i)), fits), lambda e: F.struct(i.alias("at"), F.size(e["w"]).alias("len"), e["items"].alias("items")))
 
-        found.append(F.flatten(F.transform(starts, at)))
+        places = F.filter(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.get(marked, slot(i)))
+        return F.flatten(F.transform(F.when(F.size(ws) >= k, places).otherwise(F.array().cast("array<int>")), matches))
+
+    found = [of_size(k) for k in by_len]
     hits = found[0] if len(found) == 1 else F.array_sort(F.concat(*found))
     return docs.withColumn("_hits", hits)
 
@@ -92,7 +107,7 @@ def _hits_joined(docs: DataFrame, wins: DataFrame, width: int) -> DataFrame:
     some = spots.select("_row", "_at", "_ahead", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(_ANCHOR)), lambda n: F.xxhash64(F.slice("_ahead", F.lit(1), n))))).alias("_h"))
     hit = some.join(spread, "_h").where(F.slice("_ahead", F.lit(1), F.size("_w")) == F.col("_w"))
     per = hit.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), F.size("_w").alias("len"), "items"))).alias("_hits"))
-    return keyed.join(per, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<at:int,len:int,items:array<string>>>"))).drop("_row")
+    return keyed.join(per, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(_HITS))).drop("_row")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
