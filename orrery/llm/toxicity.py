@@ -3,7 +3,8 @@
 score(x) = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2))
 
 The pair term learns that two terms together, such as an insult beside the mention of a group, say
-more than each alone.  Terms are the distinct lower-cased words of the whole text, hashed into
+more than each alone.  Terms are the distinct lower-cased words of the whole text and their
+beginnings (languages that inflect or compound hide an insult in many words), hashed into
 ``BUCKETS``; x is 1 for those that occur.  Labels, language, source and id are never inputs.
 
 Fitting uses at most ``SAMPLE_ROWS`` labelled rows, those with the smallest seeded hash of the id, so
@@ -31,12 +32,18 @@ from pyspark.sql import functions as F
 from .common import arrow_map, text_or_empty
 
 BUCKETS, FACTORS, SAMPLE_ROWS, MIN_ROWS, SIGNIFICANT, THRESHOLD = 1 << 17, 4, 6000, 3, 15.0, 0.7
+PREFIXES = (3, 4, 5, 6, 7)
 _TERM = re.compile(r"\w+")
 
 
-def terms(text: str) -> list[int]:
-    """Hashes of the distinct words."""
-    return [zlib.crc32(w.encode()) % BUCKETS for w in set(_TERM.findall(text.lower()))]
+def buckets(word: str) -> set[int]:
+    """Hashes of a word and of its beginnings."""
+    return {zlib.crc32(t.encode()) % BUCKETS for t in (word, *("^" + word[:n] for n in PREFIXES if n < len(word)))}
+
+
+def terms(text: str) -> set[int]:
+    """Hashes of all terms of a text."""
+    return set().union(*map(buckets, set(_TERM.findall(text.lower()))))
 
 
 @dataclass
@@ -49,7 +56,7 @@ class Machine:
     known: np.ndarray
 
     def score(self, text: str) -> float:
-        x = np.unique(np.array(terms(text), dtype=np.int64))
+        x = np.array(sorted(terms(text)), dtype=np.int64)
         return self.of(x[self.known[x]])
 
     def of(self, x: np.ndarray) -> float:
@@ -65,7 +72,7 @@ def chi2(have: np.ndarray, have1: np.ndarray, n: int, n1: int) -> np.ndarray:
     return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.2, decay: float = 1e-4, seed: int = 5) -> Machine:
     """AdaGrad on the logistic loss; the rarer label weighs as much as the other in all."""
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(BUCKETS), rng.normal(0, 0.01, (BUCKETS, FACTORS)), 0.0
@@ -116,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(set(terms(t))) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(terms(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "x"])
 
     got = arrow_map(texts.select("y", "text"), work, "y int, x array<int>").toPandas()
     got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["key", "y"])  # an order of its own: reruns agree
@@ -134,7 +141,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
         for b in batches:
             out = []
             for t in b.column(at).to_pylist():
-                found = {i for w in set(_TERM.findall(t.lower())) if (i := bucket[w]) >= 0} if t else ()
+                found = set().union(*map(bucket.__getitem__, set(_TERM.findall(t.lower())))) if t else ()
                 out.append(m.of(np.array(sorted(found), dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "score"])
 
@@ -143,18 +150,17 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
 
 
 class _Buckets(dict):
-    """Word -> known bucket or -1, remembered for a bounded number of words."""
+    """Word -> its known buckets, remembered for a bounded number of words."""
 
     def __init__(self, known: np.ndarray):
         self.known = known
 
-    def __missing__(self, w: str) -> int:
-        i = zlib.crc32(w.encode()) % BUCKETS
-        i = i if self.known[i] else -1
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        found = tuple(i for i in buckets(w) if self.known[i])
         if len(self) >= 300_000:
             self.clear()
-        self[w] = i
-        return i
+        self[w] = found
+        return found
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
