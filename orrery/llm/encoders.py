@@ -12,17 +12,27 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words remembered by a worker; the store starts anew beyond it, which costs time, not results.
-MAX_WORDS = 600_000
+#: Words remembered by a worker (about 250 MB); further ones are kept for their batch only, which
+#: costs time, not results.
+MAX_WORDS = 1_400_000
 #: Words whose number of tokens with word end is known: one of letters, one of marks after them.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
 #: White space to Python but not to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+class _Ids(dict):
+    """Word -> ids; ``extra`` holds those of the batch that are beyond the bound."""
+
+    extra: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.extra[word]
+
+
 class WordCache:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
@@ -30,7 +40,10 @@ class WordCache:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
+        self.ids = _Ids()
+        self.ids.extra = {}
+        self.plain = Tokenizer.from_file(path)  # for words that the normalizer would only lower
+        self.plain.normalizer = normalizers.Sequence([])
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -40,7 +53,7 @@ class WordCache:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
         plain, counts, rest = [], [], []
         for w in words:
             if m := _PLAIN.fullmatch(w):
@@ -50,26 +63,24 @@ class WordCache:
                 rest.append(w)
         for i in range(0, len(plain), 100):
             some, n = plain[i : i + 100], np.cumsum(counts[i : i + 100])
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some).lower()], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != n[-1]:
                 rest += some
                 continue
             cut = [0, *stops[n - 1].tolist()]
-            self.ids.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, cut[:-1], cut[1:], strict=True))
+            into.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, cut[:-1], cut[1:], strict=True))
         if rest:
-            self.ids.update(zip(rest, self._direct(rest), strict=True))
+            into.update(zip(rest, self._direct(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         whole = {i for i, t in enumerate(texts) if _SEPARATORS.search(t) or any(s in t for s in self.special)}
         words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
         new = set().union(*words) - self.ids.keys() if words else set()
-        if len(self.ids) + len(new) > MAX_WORDS:
-            self.ids.clear()
-            new = set().union(*words)
+        self.ids.extra = {}
         if new:
-            self._learn(list(new))
+            self._learn(list(new), self.ids if len(self.ids) + len(new) <= MAX_WORDS else self.ids.extra)
         get = self.ids.__getitem__
         out = [b"".join(map(get, w)) for w in words]
         for i in whole:
