@@ -28,6 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
+from .encoders import load
+
+#: Conversations encoded at a time: offsets take far more memory than ids.
+ENCODED = 16
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 _OPEN, _OPENED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
@@ -84,9 +88,7 @@ def masked(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tupl
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
+    tok = load(path)
     tok.encode_special_tokens = True
     return tok
 
@@ -102,7 +104,7 @@ def format_chats(conversations: DataFrame, tokenizer: str, trained: str = "assis
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(k, ENCODED) for b in batches for k in range(0, b.num_rows, ENCODED)):
             ids, turns = batch.column(0), batch.column(1).to_pylist()
             rendered = [render([(t["role"], t["text"]) for t in c], trained) for c in turns]
             encoded = tok.encode_batch([r[0] for r in rendered], add_special_tokens=False)

@@ -7,6 +7,7 @@ library only for words it hasn't met; texts that hold a special token's string g
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -21,6 +22,14 @@ _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def load(path: str):
+    """The tokenizer, on one thread: a task has one core, and threads' arenas cost memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class _Ids(dict):
     """Word -> ids; ``extra`` holds those of the batch that are beyond the bound."""
 
@@ -32,9 +41,7 @@ class _Ids(dict):
 
 class WordCache:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
-
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.plain = load(path), load(path)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -42,8 +49,9 @@ class WordCache:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.ids = _Ids()
         self.ids.extra = {}
-        self.plain = Tokenizer.from_file(path)  # for words that the normalizer would only lower
-        self.plain.normalizer = normalizers.Sequence([])
+        from tokenizers import normalizers
+
+        self.plain.normalizer = normalizers.Sequence([])  # for words that it would only lower
 
     @staticmethod
     @lru_cache(maxsize=2)
