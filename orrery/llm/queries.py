@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, tokenfile, toxicity, wordpiece
+from . import chat, decontaminate, fingerprints, mixing, pii, tokenfile, toxicity, wordpiece
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
     "op7_token_output": op7_token_output,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
