@@ -12,16 +12,14 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words remembered by a worker (about 250 MB); further ones are kept for their batch only, which
 #: costs time, not results.
 MAX_WORDS = 1_400_000
 #: Words whose number of tokens with word end is known: one of letters, one of marks after them.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
-#: White space to Python but not to the tokenizer.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-
-
 def load(path: str):
     """The tokenizer, on one thread: a task has one core, and threads' arenas cost memory."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,7 +44,8 @@ class WordCache:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = "|".join([r"[\x1c-\x1f]", *special])  # white space to Arrow but not to the tokenizer
         self.ids = _Ids()
         self.ids.extra = {}
         from tokenizers import normalizers
@@ -81,16 +80,31 @@ class WordCache:
         if rest:
             into.update(zip(rest, self._direct(rest), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = {i for i, t in enumerate(texts) if _SEPARATORS.search(t) or any(s in t for s in self.special)}
-        words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        new = set().union(*words) - self.ids.keys() if words else set()
-        self.ids.extra = {}
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (no nulls among them).
+
+        Arrow splits the texts and numbers their distinct words; only those are looked up one by one,
+        and numpy gathers their ids in the order of the text.
+        """
+        if not len(texts):
+            return []
+        split = pc.utf8_split_whitespace(texts)
+        coded = pc.dictionary_encode(split.flatten())
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        new = [w for w in names if w and w not in self.ids]
+        self.ids.extra = {"": b""}
         if new:
-            self._learn(list(new), self.ids if len(self.ids) + len(new) <= MAX_WORDS else self.ids.extra)
-        get = self.ids.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
-        for i in whole:
-            out[i] = self._direct([texts[i]])[0]
+            self._learn(new, self.ids if len(self.ids) + len(new) <= MAX_WORDS else self.ids.extra)
+        found = list(map(self.ids.__getitem__, names))
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        n = size[codes]
+        stop = np.cumsum(n)
+        ids = pool[np.repeat(first[codes] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        cut = np.concatenate(([0], stop))[bounds]
+        out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.frombuffer(self._direct([texts[i].as_py()])[0], "<u4")
         return out

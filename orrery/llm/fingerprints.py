@@ -25,9 +25,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 64
-_BITS = 12
-_GROUP = 16
+SAMPLES = 60
+_BITS = 8
+_GROUP = 6
 
 
 def _gamma_quantile(p: float) -> float:
@@ -52,8 +52,7 @@ def _ranges(docs: DataFrame, count: int) -> list[int]:
 
 
 def _words(text: Column) -> Column:
-    found = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
 def _with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, list[int]]:
@@ -80,7 +79,7 @@ def _following(heads: DataFrame, value: str) -> DataFrame:
 def _samples(h: Column, weight: Column, samples: int) -> list[Column]:
     """Per sample an integer: what is minimised in the leading bits, a name of (word, t) in the last."""
     size = 1 << _BITS
-    mids = [(i + 0.5) / size for i in range(size)]
+    mids = [(i + 0.5) / size for i in range(size)]  # small tables: they are part of the plan, once a sample
     gamma = [_gamma_quantile(p) for p in mids]
     r_table, r_inverse = _table(gamma), _table([1 / g for g in gamma])
     c_table = _table(list(map(math.log, gamma)))
@@ -119,7 +118,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, parts: int | None = No
     rows = rows.select("_part", "_nth", "doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"))
 
     both = rows.select("_part", "_nth", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x"))
-    words = both.select("_part", "_nth", "x.which", F.explode(_words(F.col("x.t"))).alias("word"))
+    words = both.select("_part", "_nth", "x.which", F.explode_outer(_words(F.col("x.t"))).alias("word"))
     counted = words.groupBy("_part", "_nth", "which", F.xxhash64("word").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     # a row draws _GROUP samples, not all: a longer method of generated code is never compiled
     groups = range(-(-samples // _GROUP))

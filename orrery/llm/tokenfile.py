@@ -182,9 +182,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
         keys: list = []
         ids: list[np.ndarray] = []
         for batch in batches:
-            for key, got in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
+            for key, got in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), strict=True):
                 keys.append(key)
-                ids.append(np.concatenate((np.frombuffer(got, "<u4"), end)))
+                ids.append(np.concatenate((got, end)))
                 held += len(ids[-1])
                 if held >= block_ids:
                     yield pa.RecordBatch.from_pylist([_block(part, seq, before, keys, ids, width)], _ARROW)
