@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, mixing, pii, tokenfile, toxicity, wordpiece
+from . import chat, decontaminate, fingerprints, jaccard, mixing, pii, tokenfile, toxicity, wordpiece
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows, vocabulary("byte_bpe_50k.json")))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -65,6 +69,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
