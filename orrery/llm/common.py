@@ -40,6 +40,27 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Shield:
+    """Keeps the columns that an operator doesn't read out of its way, whatever their names.
+
+    ``inner`` has the ``core`` columns and the others under plain names; ``restore`` gives the others
+    their names back beside the outputs.  An input column with an output's name makes room for it.
+    """
+
+    def __init__(self, docs: DataFrame, *core: str):
+        self.names, self.core = docs.columns, core
+        self.held = {c: f"_held{i}" for i, c in enumerate(docs.columns) if c not in core}
+        self.inner = docs.select(*[named(c) if c in core else named(c).alias(self.held[c]) for c in docs.columns])
+
+    def restore(self, df: DataFrame, **outputs: Column) -> DataFrame:
+        kept = [named(c) if c in self.core else F.col(self.held[c]).alias(c) for c in self.names if c not in outputs]
+        return df.select(*kept, *[v.alias(k) for k, v in outputs.items()])
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over small batches, so that a batch of long texts stays bounded."""
     conf = df.sparkSession.conf

@@ -10,7 +10,8 @@ bound the windows stay a table and the documents' windows are joined with it by
 
 Nulls: a null text has no words, so neither hits nor contamination; a null item id counts as an
 item named ``""``.  Empty tables give no rows, or no hits.  Repeated rows are each judged alone, and
-repeated items are items of their own only if their ids differ.  Other columns pass unchanged.
+repeated items are items of their own only if their ids differ.  Other columns pass unchanged; one named
+like an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shield
+
 WIDTH = 13
 #: Largest set of windows that is broadcast: about 10 MB.
 BROADCAST_WINDOWS = 100_000
@@ -117,18 +120,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     """
     wins = windows(benchmark, width)
     count = wins.limit(broadcast_windows + 1).count()
-    base = docs.withColumn("_ws", words(F.col("text")))
+    shield = Shield(docs, "text")
+    base = shield.inner.withColumn("_ws", words(F.col("text")))
     found = _hits_broadcast(base, wins, count) if count <= broadcast_windows else _hits_joined(base, wins, width)
-    found = found.withColumns({
-        "n_words": F.size("_ws").cast("bigint"),
-        "n_hit": _covered(F.col("_hits")).cast("bigint"),
-        "items": F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"])))),
-        "hit_spans": F.transform("_hits", lambda h: F.struct(h["at"].alias("start"), (h["at"] + h["len"]).alias("end"))),
-    })
-    return found.drop("_ws", "_hits").withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    found = found.withColumns({"_n": F.size("_ws").cast("bigint"), "_hit": _covered(F.col("_hits")).cast("bigint")})
+    return shield.restore(
+        found, n_words=F.col("_n"), n_hit=F.col("_hit"), items=F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"])))),
+        hit_spans=F.transform("_hits", lambda h: F.struct(h["at"].alias("start"), (h["at"] + h["len"]).alias("end"))),
+        contaminated=(F.col("_hit") > 0) & (share * F.col("_hit") >= F.col("_n")),
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, that aren't contaminated."""
-    marked = find_contamination(docs.withColumn("_all", F.struct(*docs.columns)), benchmark)
-    return marked.where(~F.col("contaminated")).select("_all.*")
+    shield = Shield(docs, "text")
+    return shield.restore(find_contamination(shield.inner, benchmark).where(~F.col("contaminated")))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import Shield, settled
 
 WEIGHTS, MAX_COPIES, SEED, SALTS = (5, 2, 1), 3, 17, 64
 #: Budgets up to this many words are fitted exactly; above it whole lengths are taken, largest first.
@@ -105,9 +105,10 @@ def words(text: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_COPIES, seed: int = SEED, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``mix`` = struct(size, source_size, target, copies, taken).
 
-    With ``keep_text`` false the text is dropped, which spares its shuffle.
+    With ``keep_text`` false only doc_id and source are kept, which spares the shuffle of texts.
     """
-    sized = docs.withColumns({"_size": words(F.col("text")), "_h": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), "_s": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
+    shield = Shield(docs if keep_text else docs.select("doc_id", "text", "source"), "doc_id", "text", "source")
+    sized = shield.inner.withColumns({"_size": words(F.col("text")), "_h": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), "_s": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
     sized = sized.withColumn("_salt", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(SALTS)).cast("int"))
     if not keep_text:
         sized = settled(sized.drop("text"), "mix")
@@ -136,10 +137,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_CO
     found = sized.withColumn("_rank", rank).join(quota, ["_s", "_size", "_salt"], "left").join(F.broadcast(facts), "_s", "left")
     copies = F.when(F.col("_size") > 0, F.col("_base") + (F.col("_rank") <= F.col("_quota")).cast("int")).otherwise(0)
     mixed = F.struct(F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (F.col("_size") * copies).alias("taken"))
-    return found.select(*[c for c in docs.columns if keep_text or c != "text"], mixed.alias("mix"))
+    return shield.restore(found, mix=mixed) if keep_text else found.select("doc_id", "source", mixed.alias("mix"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = mix(docs).where(F.col("mix.copies") > 0)
-    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select(*docs.columns)
+    shield = Shield(docs, "doc_id", "text", "source")
+    taken = mix(shield.inner).where(F.col("mix.copies") > 0)
+    return shield.restore(taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))))

@@ -26,8 +26,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Shield, arrow_map
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, HIDDEN, EMBED, SENTENCES, EPOCHS = 64, 12, 8, 1200, 8
@@ -380,7 +381,8 @@ def merged(text: str, base: list[Span], found: list[Span]) -> list[Span]:
 def find_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans``: arrays of struct(kind, start, end)."""
     tagger = docs.sparkSession.sparkContext.broadcast(trained())
-    names = docs.columns
+    shield = Shield(docs, "text")
+    names = shield.inner.columns
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(spans: list[Span]) -> list[dict]:
@@ -394,6 +396,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             every = [merged(*x) for x in zip(texts, base, tag_texts(tagger.value, texts), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(rows, base), kind), pa.array(map(rows, every), kind)], [*b.schema.names, "base_spans", "spans"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in shield.inner.schema)
     shape = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return arrow_map(docs, work, f"{fields}, base_spans {shape}, spans {shape}")
+    found = arrow_map(shield.inner, work, f"{fields}, base_spans {shape}, spans {shape}")
+    return shield.restore(found, base_spans=F.col("base_spans"), spans=F.col("spans"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_or_empty
+from .common import Shield, arrow_map, text_or_empty
 
 BUCKETS, FACTORS, SAMPLE_ROWS, MIN_ROWS, SIGNIFICANT, THRESHOLD = 1 << 17, 4, 6000, 3, 15.0, 0.7
 PREFIXES = (3, 4, 5, 6, 7)
@@ -132,8 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (all columns) with ``score`` and ``predicted``; every word of every text counts."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(machine)
-    names, schema = docs.columns, docs.schema
+    broadcast, shield = docs.sparkSession.sparkContext.broadcast(machine), Shield(docs, "text")
+    names, schema = shield.inner.columns, shield.inner.schema
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, bucket = broadcast.value, _Buckets(broadcast.value.known)
@@ -146,7 +146,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
-    return arrow_map(docs, work, f"{fields}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = arrow_map(shield.inner, work, f"{fields}, score double")
+    return shield.restore(scored, score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"))
 
 
 class _Buckets(dict):
@@ -165,4 +166,5 @@ class _Buckets(dict):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with their own columns."""
-    return score(docs, train(docs, labels)).where("predicted = 0").select(*docs.columns)
+    shield = Shield(docs, "doc_id", "text")
+    return shield.restore(score(shield.inner, train(docs, labels)).where("predicted = 0"))

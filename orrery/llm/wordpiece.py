@@ -23,8 +23,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Shield, arrow_map
 
 MAX_WORDS = 400_000
 _WORD = regex.compile(r"\p{L}+|\p{N}+|[^\p{L}\p{N}]+")
@@ -122,7 +123,8 @@ _COUNTERS: dict[str, Counter] = {}
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``docs`` with ``n_tokens``.  The vocabulary's size is fixed, so its automaton is built by each worker once."""
-    names = docs.columns
+    shield = Shield(docs, "text")
+    names = shield.inner.columns
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _COUNTERS:
@@ -133,5 +135,5 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             counts = [sum(map(get, t.split())) if t else 0 for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], [*b.schema.names, "n_tokens"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, work, f"{fields}, n_tokens bigint")
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in shield.inner.schema)
+    return shield.restore(arrow_map(shield.inner, work, f"{fields}, n_tokens bigint"), n_tokens=F.col("n_tokens"))
