@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, fingerprints, jaccard, lines, mixing, pii, tokenfile, toxicity, wordpiece
 from .common import table
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -22,7 +23,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digests(chat.format_chats(rows, vocabulary("byte_bpe_50k.json")))
+    return chat.digests(chat.format_chats(rows, vocabulary("byte_bpe_50k.json"))).drop("n_tokens", "n_loss_tokens")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file
