@@ -95,7 +95,10 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             left -= max(0, k) * lengths[i]
     left = min(left, EXACT_WORDS)
     more = knapsack(lengths, [c - t if n else 0 for n, c, t in zip(lengths, counts, take, strict=True)], left)
-    return [t + m for t, m in zip(take, more, strict=True)]
+    found = [t + m for t, m in zip(take, more, strict=True)]
+    if budget <= EXACT_WORDS and sum(n * t for n, t in zip(lengths, found, strict=True)) < budget:
+        found = knapsack(lengths, [c if n else 0 for n, c in zip(lengths, counts, strict=True)], budget)  # even shares were in the way
+    return found
 
 
 def words(text: Column) -> Column:
