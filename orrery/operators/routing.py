@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
 
-from .search import grid_join
+from .search import grid_join, nearest_in_boxes
 
 LOCAL_NODES = 200_000
 # Fixed values of the planners.
@@ -252,6 +252,38 @@ def neutron_search(nodes: Nodes, neutron: np.ndarray, start: int, goal: int, jum
     return nodes.ids[_path(parent, b)].tolist() if depth[b] >= 0 else None
 
 
+def neutron_route(systems: DataFrame, neutrons: DataFrame, start: int, goal: int, jump: float, ship: str = "", engine: str = "astar") -> tuple[list[int], bool]:
+    """Greedy by way of the neutron star nearest to each waypoint; any engine but ``greedy`` also looks for fewer jumps.
+
+    Returns the ids and whether the search beat the greedy route.  ``neutrons`` has systemId64.
+    """
+    place = {r.id64: (r.x, r.y, r.z) for r in systems.where(F.col("id64").isin(start, goal)).select("id64", "x", "y", "z").collect()}
+    if {start, goal} - set(place):
+        raise RouteError("unknown system")
+    if start == goal:
+        return [start], False
+    width = max(6 * boosted_range(jump, ship), 3000.0)
+    near = capsule(systems, place[start], place[goal], width).join(neutrons.select(F.col("systemId64").alias("id64"), F.lit(True).alias("neutron")), "id64", "left")
+    nodes = Nodes.of(near)
+    stars = near.where("neutron")
+    neutron = np.isin(nodes.ids, stars.select("id64").toPandas()["id64"].to_numpy(np.int64))
+    found = nearest_in_boxes(waypoints(systems.sparkSession, place[start], place[goal]), stars).orderBy("i").collect()
+    stops = [r.id64 for k, r in enumerate(found) if not k or r.id64 != found[k - 1].id64]
+    try:
+        greedy = neutron_greedy(nodes, neutron, start, goal, stops, jump, ship)
+    except RouteError:
+        if engine == "greedy":
+            raise
+        greedy = None
+    if engine != "greedy":
+        best = neutron_search(nodes, neutron, start, goal, jump, ship, None if greedy is None else len(greedy) - 2)
+        if best:
+            return best, greedy is not None
+        if greedy is None:
+            raise RouteError("no route")
+    return greedy, False
+
+
 # ------------------------------------------------------------------ rendering
 def _placed(systems: DataFrame, route: list[int]) -> DataFrame:
     hops = systems.sparkSession.createDataFrame(list(enumerate(route)), "step int, id64 bigint")

@@ -279,6 +279,26 @@ def neutron_bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(None if route is None else len(route) - 1,)], "jumps int")
 
 
+@query()
+def neutron_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By waypoints, greedy and search, over the catalogue at ten times the spacing."""
+    systems, stars = _wide(spark, sf_dir), merge.neutron_systems(fixtures.body_patches(spark, sf_dir))
+    route, _ = routing.neutron_route(systems, stars, 1, 100, 300.0)
+    return routing.render(systems, route, stars)
+
+
+@query("SELECT key, max_by(value, seq) AS value FROM (SELECT concat('k', o_custkey % 10) AS key, o_orderstatus AS value, o_orderkey AS seq FROM orders) GROUP BY key", head="")
+def meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures._view(spark, sf_dir, "SELECT concat('k', o_custkey % 10) AS key, o_orderstatus AS value, o_orderkey AS seq FROM orders")
+    return merge.fold(rows, ["key"], {})
+
+
+@query("SELECT o_orderkey AS id, o_orderkey > 21600 OR o_orderkey % 5 = 0 AS stale FROM orders", head="")
+def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.when(F.col("o_orderkey") % 5 != 0, F.lit(0).cast("bigint"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), live.is_stale(last, F.col("o_orderkey")).alias("stale"))
+
+
 _RENDER = ", r AS (SELECT row_number() OVER (ORDER BY id64) - 1 AS step, * FROM systems WHERE id64 IN (1,2,3,4,5,6,7,8)), p AS (SELECT *, sqrt((x-lag(x) OVER w)*(x-lag(x) OVER w)+(y-lag(y) OVER w)*(y-lag(y) OVER w)+(z-lag(z) OVER w)*(z-lag(z) OVER w)) AS back FROM r WINDOW w AS (ORDER BY step))"
 _R2 = "round({0}*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE)"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import zlib
 from collections.abc import Callable, Iterator
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 PUSH_LIMIT = 10_000
 DOCUMENT = """id64 bigint, name string, population bigint, coords struct<x:double,y:double,z:double>, bodies array<variant>, stations array<variant>,
@@ -33,6 +34,12 @@ def documents(rows: DataFrame) -> DataFrame:
     return parsed.select("d.*", *[c for c in rows.columns if c != "json"]).where("id64 is not null and name is not null")
 
 
+def dump_time(listing: Column, file: str) -> Column:
+    """The first time stamp within 800 characters after a file's name in an index page, to tell a changed dump."""
+    name = re.escape(file)
+    return F.nullif(F.regexp_extract(listing, rf"(?s){name}.{{0,800}}?(\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}})", 1), F.lit(""))
+
+
 def pushed(rows: DataFrame, limit: int = PUSH_LIMIT) -> DataFrame:
     """A pushed batch of 1 to ``limit`` documents; anything unreadable is an error."""
     n = rows.limit(limit + 1).count()
@@ -49,7 +56,7 @@ def coordinate(value: Column) -> Column:
     return F.coalesce(value.cast("string").try_cast("double"), F.lit(0.0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def inflate(frames: pd.Series) -> pd.Series:
     """zlib frames as text; null for those that aren't."""
 

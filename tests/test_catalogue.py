@@ -13,7 +13,7 @@ from orrery.streaming import live
 
 SF = "/root/testdata/sf0.001"
 #: Customers are few at this scale, so some routes don't exist.
-SPARSE = {"carrier_greedy", "neutron_greedy", "neutron_bfs_hops", "ship_bfs_depths_joined"}
+SPARSE = {"carrier_greedy", "neutron_greedy", "neutron_route", "neutron_bfs_hops", "ship_bfs_depths_joined"}
 
 
 def norm(v):
@@ -105,6 +105,20 @@ def test_routes(spark):
     assert len(routing.neutron_search(routing.Nodes.of(line), [True] + [False] * 7, 0, 7, 10.0)) == 5
 
 
+def test_dump_time(spark):
+    page = spark.createDataFrame([("<a>x.json.gz</a> 2024-01-02 03:04:05 <a>y.gz</a> 2025-01-01 00:00:00",), ("none",)], "t string")
+    assert [r[0] for r in page.select(feeds.dump_time(F.col("t"), "x.json.gz")).collect()] == ["2024-01-02 03:04:05", None]
+
+
+def test_neutron_route(spark):
+    line = spark.createDataFrame([(i, f"S{i}", 100.0 * i, 0.0, 0.0) for i in range(60)], "id64 bigint, name string, x double, y double, z double")
+    stars = spark.createDataFrame([(i,) for i in range(0, 60, 4)], "systemId64 bigint")
+    route, _ = routing.neutron_route(line, stars, 0, 59, 100.0)
+    greedy, better = routing.neutron_route(line, stars, 0, 59, 100.0, engine="greedy")
+    assert route[0] == greedy[0] == 0 and route[-1] == greedy[-1] == 59 and len(route) <= len(greedy) and not better
+    assert len(route) == 1 + 14 + 1  # a jump from the last star reaches the goal
+
+
 def test_heat(spark):
     pts = spark.createDataFrame([(-50000.0, 0.0), (50000.0, 0.0), (float("nan"), 0.0), (None, 0.0)], "x double, z double")
     assert [tuple(r) for r in heatmap.bins(pts).collect()] == [(0, 256, 1)]
