@@ -18,8 +18,12 @@ import pyarrow.compute as pc
 #: Words remembered by a worker (about 250 MB); further ones are kept for their batch only, which
 #: costs time, not results.
 MAX_WORDS = 1_400_000
+#: Marks between a letter and white space: a word of their own to the tokenizer.
+_TAIL = r"([a-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)(\s|$)"
 #: Words whose number of tokens with word end is known: one of letters, one of marks after them.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
+
+
 def load(path: str):
     """The tokenizer, on one thread: a task has one core, and threads' arenas cost memory."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,15 +32,6 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Ids(dict):
-    """Word -> ids; ``extra`` holds those of the batch that are beyond the bound."""
-
-    extra: dict[str, bytes]
-
-    def __missing__(self, word: str) -> bytes:
-        return self.extra[word]
-
-
 class WordCache:
     def __init__(self, path: str):
         self.tok, self.plain = load(path), load(path)
@@ -46,8 +41,7 @@ class WordCache:
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.odd = "|".join([r"[\x1c-\x1f]", *special])  # white space to Arrow but not to the tokenizer
-        self.ids = _Ids()
-        self.ids.extra = {}
+        self.ids: dict[str, bytes] = {"": b""}
         from tokenizers import normalizers
 
         self.plain.normalizer = normalizers.Sequence([])  # for words that it would only lower
@@ -88,15 +82,17 @@ class WordCache:
         """
         if not len(texts):
             return []
-        split = pc.utf8_split_whitespace(texts)
+        # fewer different words: A-Z lowered (all is, later), marks that end a word set apart, as they are anyway
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, r"\1 \2\3")
+        split = pc.utf8_split_whitespace(plain)
         coded = pc.dictionary_encode(split.flatten())
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        new = [w for w in names if w and w not in self.ids]
-        self.ids.extra = {"": b""}
-        if new:
-            self._learn(new, self.ids if len(self.ids) + len(new) <= MAX_WORDS else self.ids.extra)
-        found = list(map(self.ids.__getitem__, names))
+        found = list(map(self.ids.get, names))
+        if new := [w for w, got in zip(names, found, strict=True) if got is None]:
+            into = self.ids if len(self.ids) + len(new) <= MAX_WORDS else {}
+            self._learn(new, into)
+            found = [into[w] if got is None else got for w, got in zip(names, found, strict=True)]
         pool = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first = np.cumsum(size) - size

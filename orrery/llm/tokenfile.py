@@ -38,6 +38,7 @@ from .common import arrow_map, shared_path, text_or_empty
 from .encoders import WordCache
 
 BLOCK_IDS = 1 << 19
+GATHERED_BYTES = 8 << 20
 _GAMMA = 2
 _LEVELS = 48
 BLOCK_SCHEMA = "part int, seq int, start_in_part bigint, n_docs int, n_ids bigint, keys array<bigint>, width int, payload binary, index binary"
@@ -162,6 +163,18 @@ def _block(part: int, seq: int, before: int, keys: list, ids: list[np.ndarray],
     }
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to ``GATHERED_BYTES``, so that a word is looked up once for many documents."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GATHERED_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start_in_part", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())), ("width", pa.int32()), ("payload", pa.binary()), ("index", pa.binary())])
 
 
@@ -181,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
         part, seq, before, held = TaskContext.get().partitionId(), 0, 0, 0
         keys: list = []
         ids: list[np.ndarray] = []
-        for batch in batches:
+        for batch in _gathered(batches):
             for key, got in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), strict=True):
                 keys.append(key)
                 ids.append(np.concatenate((got, end)))

@@ -123,9 +123,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(terms(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(terms(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["y", "x", "h"])
 
-    got = arrow_map(texts.select("y", "text"), work, "y int, x array<int>").toPandas()
+    # an id may stand for many rows, so the bound is kept again
+    got = arrow_map(texts.select("y", "text", F.xxhash64("doc_id", "text").alias("h")), work, "y int, x array<int>, h bigint").orderBy("h", "y").limit(sample_rows).toPandas()
     got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["key", "y"])  # an order of its own: reruns agree
     return fit([np.array(x, dtype=np.int64) for x in got["x"]], got["y"].to_numpy(dtype=np.int64))
 
