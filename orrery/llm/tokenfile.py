@@ -7,6 +7,7 @@ system that Spark reaches and survives lost executors.  Blocks follow ascending
 ``part, seq``       range partition and position in it; blocks in (part, seq) order are the whole
 ``start_in_part``   ids of the partition before the block
 ``n_docs, n_ids``   counts
+``first_id, last_id, has_null``  least and greatest key, and whether there is a null one
 ``keys``            document keys in payload order
 ``width``           bytes of an id in the payload (2 if the vocabulary fits, else 4)
 ``payload``         the ids, little-endian, documents one after another
@@ -41,7 +42,7 @@ BLOCK_IDS = 1 << 19
 GATHERED_BYTES = 8 << 20
 _GAMMA = 2
 _LEVELS = 48
-BLOCK_SCHEMA = "part int, seq int, start_in_part bigint, n_docs int, n_ids bigint, keys array<bigint>, width int, payload binary, index binary"
+BLOCK_SCHEMA = "part int, seq int, start_in_part bigint, n_docs int, n_ids bigint, first_id bigint, last_id bigint, has_null boolean, keys array<bigint>, width int, payload binary, index binary"
 
 
 # ------------------------------------------------------------------ hashing
@@ -156,9 +157,10 @@ class Index:
 
 # ------------------------------------------------------------------ writing
 def _block(part: int, seq: int, before: int, keys: list, ids: list[np.ndarray], width: int) -> dict:
-    lengths = np.array([len(x) for x in ids], dtype=np.int64)
+    lengths, known = np.array([len(x) for x in ids], dtype=np.int64), [k for k in keys if k is not None]
     return {
-        "part": part, "seq": seq, "start_in_part": before, "n_docs": len(keys), "n_ids": int(lengths.sum()), "keys": keys, "width": width,
+        "part": part, "seq": seq, "start_in_part": before, "n_docs": len(keys), "n_ids": int(lengths.sum()),
+        "first_id": min(known, default=None), "last_id": max(known, default=None), "has_null": len(known) < len(keys), "keys": keys, "width": width,
         "payload": np.concatenate(ids).astype("<u2" if width == 2 else "<u4").tobytes(), "index": build_index(keys, lengths),
     }
 
@@ -175,7 +177,7 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start_in_part", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())), ("width", pa.int32()), ("payload", pa.binary()), ("index", pa.binary())])
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start_in_part", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("has_null", pa.bool_()), ("keys", pa.list_(pa.int64())), ("width", pa.int32()), ("payload", pa.binary()), ("index", pa.binary())])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = BLOCK_IDS, partitions: int | None = None) -> None:
@@ -241,10 +243,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """The ids of a few documents by key: doc_id, ids (end id included).
 
-    Min/max statistics of ``keys`` don't exist in Parquet, so each block asks its own index, in
-    constant time a key; payloads are touched only where a key is found.
+    Blocks are sorted by id, so Parquet's statistics of ``first_id`` and ``last_id`` leave those that
+    may hold a key; each asks its own index, in constant time a key.
     """
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    maybe = F.col("has_null") if None in doc_ids else F.lit(False)
+    for k in (k for k in set(doc_ids) if k is not None):
+        maybe = maybe | ((F.col("first_id") <= k) & (F.col("last_id") >= k))
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path).where(maybe)
 
     def get(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
