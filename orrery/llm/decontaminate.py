@@ -134,4 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, that aren't contaminated."""
     shield = Shield(docs, "text")
-    return shield.restore(find_contamination(shield.inner, benchmark).where(~F.col("contaminated")))
+    found = find_contamination(shield.inner, benchmark)
+    # a filter would be pushed below the scan of windows and repeat it for every word; a generator isn't
+    kept = F.when(F.col("contaminated"), F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
+    return shield.restore(found.withColumn("_kept", F.explode(kept)))
