@@ -130,82 +130,6 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
     return fit([np.asarray(x, dtype=np.int32) for x in got["x"]], got["y"].to_numpy(dtype=np.int64))
 
 
-def score(self, text: str) -> float:
-        x = np.array(sorted(terms(text)), dtype=np.int64)
-        return self.of(x[self.known[x]])
-
-    def of(self, x: np.ndarray) -> float:
-        v = self.v[x]
-        z = self.bias + float(self.w[x].sum()) + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def chi2(have: np.ndarray, have1: np.ndarray, n: int, n1: int) -> np.ndarray:
-    """Chi-squared statistic of having a term against the label."""
-    a, b, c = have1.astype(float), (have - have1).astype(float), float(n1) - have1
-    d = n - a - b - c
-    return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.2, decay: float = 1e-4, seed: int = 5) -> Machine:
-    """AdaGrad on the logistic loss; the rarer label weighs as much as the other in all."""
-    rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(BUCKETS), rng.normal(0, 0.01, (BUCKETS, FACTORS)), 0.0
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    for x in rows:
-        counts[x] += 1
-    n1 = int(labels.sum())
-    if not len(labels) or n1 == 0 or n1 == len(labels):
-        return Machine(30.0 if n1 else -30.0, w, v * 0, np.zeros(BUCKETS, dtype=bool))
-    with1 = np.zeros(BUCKETS, dtype=np.int64)
-    for x, y in zip(rows, labels, strict=True):
-        if y:
-            with1[x] += 1
-    known = (counts >= MIN_ROWS) & (chi2(counts, with1, len(labels), n1) >= SIGNIFICANT)
-    rows = [x[known[x]] for x in rows]
-    gain = np.where(labels == 1, len(labels) / (2 * n1), len(labels) / (2 * (len(labels) - n1)))
-    gw, gv, gb = np.full(BUCKETS, 1e-6), np.full((BUCKETS, FACTORS), 1e-6), 1e-6
-    # a word that half of all documents have says little: steps are damped by how common it is
-    damp = np.minimum(1.0, np.sqrt(len(rows) / 50 / np.maximum(counts, 1)))
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            x, y = rows[i], labels[i]
-            vx = v[x]
-            total = vx.sum(0)
-            z = bias + w[x].sum() + 0.5 * ((total**2).sum() - (vx**2).sum())
-            g = gain[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            gb += g * g
-            bias -= rate * g / np.sqrt(gb)
-            d = g + decay * w[x]
-            gw[x] += d * d
-            w[x] -= rate * damp[x] * d / np.sqrt(gw[x])
-            d = g * (total - vx) + decay * vx
-            gv[x] += d * d
-            v[x] -= 0.2 * rate * damp[x, None] * d / np.sqrt(gv[x])
-    return Machine(float(bias), w, v, known)
-
-
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-
-
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fit on labelled rows outside the held-out third."""
-    ok = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
-    picked = ok.select("doc_id", F.col(target).cast("int").alias("y")).orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id", "y").limit(sample_rows)
-    # at most sample_rows ids are broadcast
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(terms(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["y", "x", "h"])
-
-    # an id may stand for many rows, so the bound is kept again; the order makes reruns agree
-    got = arrow_map(texts.select("y", "text", F.xxhash64("doc_id", "text").alias("h")), work, "y int, x array<int>, h bigint").orderBy("h", "y").limit(sample_rows).toPandas()
-    got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["key", "y"])  # an order of its own: reruns agree
-    return fit([np.array(x, dtype=np.int64) for x in got["x"]], got["y"].to_numpy(dtype=np.int64))
-
-
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (all columns) with ``score`` and ``predicted``; every word of every text counts."""
     broadcast, shield = docs.sparkSession.sparkContext.broadcast(machine), Shield(docs, "text")
