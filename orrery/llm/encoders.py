@@ -40,7 +40,8 @@ class WordCache:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.odd = "|".join([r"[\x1c-\x1f]", *special])  # white space to Arrow but not to the tokenizer
+        # white space to Arrow but not to the tokenizer; specials in any case, as words are lowered before they are looked up
+        self.odd = "|".join([r"[\x1c-\x1f]", *(f"(?i:{s})" for s in special)])
         self.ids: dict[str, bytes] = {"": b""}
         from tokenizers import normalizers
 

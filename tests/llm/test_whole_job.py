@@ -3,7 +3,11 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+
 from orrery.llm import lines
+from orrery.llm.encoders import WordCache
+from orrery.llm.queries import vocabulary
 
 
 def test_lines_by_edit_similarity_alone(spark):
@@ -40,3 +44,9 @@ def test_lines_by_edit_similarity_alone(spark):
     found = {r.doc_id for r in got}
     short = {d for d in want if max(len(known[x]) for x in groups[find(d)]) <= lines.SHORT}
     assert len(short) > 10 and found <= want and short <= found and len(found) >= 0.95 * len(want)
+
+
+def test_special_strings_in_any_case():
+    texts = ["a <|ENDOFTEXT|> b", "x<|StartOfText|>y Z", "<|endoftext|> <|EndOfText|>", "plain"]
+    w = WordCache.of(vocabulary("word_bpe_49k.json"))
+    assert [x.tolist() for x in w.encode(pa.array(texts))] == [w.tok.encode(t, add_special_tokens=False).ids for t in texts]
