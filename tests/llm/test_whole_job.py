@@ -3,9 +3,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 
-from orrery.llm import lines
+from orrery.llm import lines, toxicity
 from orrery.llm.encoders import WordCache
 from orrery.llm.queries import vocabulary
 
@@ -50,3 +51,16 @@ def test_special_strings_in_any_case():
     texts = ["a <|ENDOFTEXT|> b", "x<|StartOfText|>y Z", "<|endoftext|> <|EndOfText|>", "plain"]
     w = WordCache.of(vocabulary("word_bpe_49k.json"))
     assert [x.tolist() for x in w.encode(pa.array(texts))] == [w.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_pair_whose_members_say_nothing_alone():
+    rng, rows, labels = np.random.default_rng(1), [], []
+    for _ in range(3000):
+        a, b = [(1, 0), (0, 1), (1, 1), (0, 0)][rng.choice(4, p=[0.06, 0.06, 0.012, 0.868])]
+        rows.append(np.unique([*[k for k, on in ((1, a), (2, b)) if on], *rng.integers(10, 2000, 40).tolist()]))
+        labels.append(int(a and b or not a and not b and rng.random() < 0.115))
+    have = [np.array([k in x for x in rows]) for k in (1, 2)]
+    y = np.array(labels)
+    assert all(toxicity.chi2(h.sum(), (h & (y == 1)).sum(), len(y), y.sum()) < toxicity.SIGNIFICANT for h in have)
+    m = toxicity.fit(rows, y)
+    assert m.known[[1, 2]].all() and m.of(np.array([1, 2])) > 0.7 > 0.5 > max(m.of(np.array([1])), m.of(np.array([2])))
