@@ -120,8 +120,8 @@ _NEEDED = needed()
 
 
 def _nodes(docs: DataFrame, bands: bool) -> DataFrame:
-    """doc_id, node and either the bucket keys or the shingles and signature; texts without words are left out."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    """doc_id, node and either a hash of the text and the bucket keys, or the shingles and signature; texts without words are left out."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("th"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,12 +138,12 @@ def _nodes(docs: DataFrame, bands: bool) -> DataFrame:
                     keys = _mix(keys * _P + values[:, :, k])
                 flat = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([ids, nodes, lists], ["doc_id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, nodes, batch.column(2).take(pa.array(ok)), lists], ["doc_id", "node", "th", "keys"])
             else:
                 signs = minhashes(sets, _SIGN_DRAWS)
                 yield pa.RecordBatch.from_arrays([ids, nodes, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in signs], pa.binary())], ["doc_id", "node", "shingles", "signature"])
 
-    return arrow_map(rows, work, "doc_id bigint, node bigint, keys array<bigint>" if bands else "doc_id bigint, node bigint, shingles binary, signature binary")
+    return arrow_map(rows, work, "doc_id bigint, node bigint, th bigint, keys array<bigint>" if bands else "doc_id bigint, node bigint, shingles binary, signature binary")
 
 
 def linked(sets: list[np.ndarray], signs: np.ndarray, first: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +207,8 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "links": links, "root": node[[find(x) for x in range(len(rows))]]})
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, class_id (least doc_id of its class), n_links (documents of similarity 0.8 or more)."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """Per document that has an id and words: doc_id, th (hash of the text), label (of its class), class_id, n_links."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     named = settled(_nodes(docs, bands=True), "nodes")
@@ -232,14 +232,29 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     facts = nodes.join(links, "node", "left").join(classes, "node", "left").select("node", "copies", "doc_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
     least = facts.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    final = facts.join(least, "label").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    found = named.select("doc_id", "node").join(final, "node").select("doc_id", "class_id", "n_links")
+    final = facts.join(least, "label").select("node", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return named.select("doc_id", "th", "node").join(final, "node").select("doc_id", "th", "label", "class_id", "n_links")
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, class_id (least doc_id of its class), n_links (documents of similarity 0.8 or more)."""
+    docs = docs.select("doc_id", "text")
+    found = _classes(docs).select("doc_id", "class_id", "n_links")
     # words are told as in ``shingle_sets``: whatever has none isn't among ``named``
     alone = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\p{IsWhite_Space}]"), F.lit(False)))
     return found.unionByName(alone.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each class; rows without an id stay."""
-    kept = jaccard_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` without all but one document of each class, the one with the least (id, hash of the text).
+
+    Only rows of one class stand for each other, so an id may stay with several texts; rows without an id
+    or words are classes of their own and stay.
+    """
+    spare = [f"_{c}{'_' * max(map(len, docs.columns))}" for c in ("id", "th")]
+    classes = settled(_classes(docs).select("doc_id", "th", "label"), "classes")
+    known = classes.select(F.col("doc_id").alias(spare[0]), F.col("th").alias(spare[1]))
+    stay = classes.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("s")).select(F.col("s.doc_id").alias(spare[0]), F.col("s.th").alias(spare[1]))
+    rows = docs.withColumns({spare[0]: F.col("doc_id").cast("bigint"), spare[1]: F.xxhash64(text_or_empty())})
+    one = rows.join(stay, spare, "left_semi").dropDuplicates(spare)
+    return one.unionByName(rows.join(known, spare, "left_anti")).drop(*spare)

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
-from orrery.llm import lines, toxicity
+from orrery.llm import jaccard, lines, toxicity
 from orrery.llm.encoders import WordCache
 from orrery.llm.queries import vocabulary
 
@@ -64,3 +64,10 @@ def test_a_pair_whose_members_say_nothing_alone():
     assert all(toxicity.chi2(h.sum(), (h & (y == 1)).sum(), len(y), y.sum()) < toxicity.SIGNIFICANT for h in have)
     m = toxicity.fit(rows, y)
     assert m.known[[1, 2]].all() and m.of(np.array([1, 2])) > 0.7 > 0.5 > max(m.of(np.array([1])), m.of(np.array([2])))
+
+
+def test_an_id_with_unrelated_texts_keeps_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (3, c), (3, c), (4, "")]
+    kept = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, a), (1, b), (3, c), (4, "")]
