@@ -239,9 +239,11 @@ def _classes(docs: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (least doc_id of its class), n_links (documents of similarity 0.8 or more)."""
     docs = docs.select("doc_id", "text")
-    found = _classes(docs).select("doc_id", "class_id", "n_links")
-    # words are told as in ``shingle_sets``: whatever has none isn't among ``named``
-    alone = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\p{IsWhite_Space}]"), F.lit(False)))
+    classes = settled(_classes(docs), "classes")
+    found = classes.select("doc_id", "class_id", "n_links")
+    # whatever isn't among them has no id or no words
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"))
+    alone = rows.join(classes.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
     return found.unionByName(alone.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 

@@ -71,3 +71,9 @@ def test_an_id_with_unrelated_texts_keeps_each(spark):
     rows = [(1, a), (1, b), (2, a + " more"), (3, b), (3, c), (3, c), (4, "")]
     kept = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(map(tuple, kept.collect())) == [(1, a), (1, b), (3, c), (4, "")]
+
+
+def test_a_text_of_separators_is_a_class_of_its_own(spark):
+    rows = [(1, "\x1c\x1d \x1f"), (2, "one two three four five six")]
+    out = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, out)) == [(1, 1, 0), (2, 2, 0)]
