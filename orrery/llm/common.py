@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-#: Rows in an Arrow batch.  Texts can be long, so a batch stays small.
-BATCH_ROWS = 500
+#: Bounds of what an operator works on at once: rows and bytes (a longer text stands alone).
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Bits of a filter of ``marked``: at most 16 MB are broadcast, whatever the table's size.
+MOST_BITS, BITMAP_BITS = 27, 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes see: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="orrery-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """The folder all nodes see: ``spark.checkpoint.dir``, or one in the warehouse where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orrery-shared"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -57,16 +54,45 @@ class Shield:
         self.inner = docs.select(*[named(c) if c in core else named(c).alias(self.held[c]) for c in docs.columns])
 
     def restore(self, df: DataFrame, **outputs: Column) -> DataFrame:
-        kept = [named(c) if c in self.core else F.col(self.held[c]).alias(c) for c in self.names if c not in outputs]
+        replaced = {c.lower() for c in outputs}
+        kept = [named(c) if c in self.core else F.col(self.held[c]).alias(c) for c in self.names if c.lower() not in replaced]
         return df.select(*kept, *[v.alias(k) for k, v in outputs.items()])
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over small batches, so that a batch of long texts stays bounded."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes, without copying."""
+    for batch in batches:
+        step = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over small batches.  Spark bounds the bytes of what it sends; no session setting is touched."""
+    return df.mapInArrow(lambda batches: fn(pieces(batches)), schema)
+
+
+def extended(schema: StructType, *fields: StructField) -> StructType:
+    """``schema`` with further fields, whatever its names and types."""
+    return StructType([*schema.fields, *fields])
+
+
+def marked(df: DataFrame, value: Column, members: DataFrame) -> DataFrame:
+    """``df`` with ``marked``: false only where ``value`` surely isn't among the longs of ``members`` (one column).
+
+    The members become bitmaps, of 16 bits a member up to 16 MB, which are broadcast; beyond, more rows
+    are marked for nothing, but none is missed.
+    """
+    count = members.count()
+    bits = min(MOST_BITS, max(BITMAP_BITS, (16 * count).bit_length()))
+    place = F.pmod(value, F.lit(1 << bits))
+    at = members.select(F.pmod(F.col(members.columns[0]), F.lit(1 << bits)).alias("at")).distinct()
+    maps = at.groupBy(F.shiftright("at", BITMAP_BITS).alias("_nth")).agg(F.expr(f"bitmap_construct_agg(at & {(1 << BITMAP_BITS) - 1})").alias("_bits"))
+    both = df.withColumn("_place", place).join(F.broadcast(maps), F.shiftright("_place", BITMAP_BITS) == F.col("_nth"), "left")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).cast("int")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_place & {(1 << BITMAP_BITS) - 1}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.pow(F.lit(2), F.pmod(inside, F.lit(8))).cast("int")
+    return both.withColumn("marked", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("_place", "_nth", "_bits")
 
 
 def text_or_empty(name: str = "text") -> Column:

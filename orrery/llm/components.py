@@ -19,7 +19,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now, last = settled(edges.select("a", "b").where("a != b").distinct(), "edges"), None
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # a table of its own, so that the join after it is between two plain shuffles: a hub's edges can be split
+        least = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # now every edge runs from the greater node a to a smaller b
         low = large.groupBy("a").agg(F.min("b").alias("m"))
