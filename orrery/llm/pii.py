@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import Shield, arrow_map
+from .common import Shield, arrow_map, extended
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, HIDDEN, EMBED, SENTENCES, EPOCHS = 64, 12, 8, 1200, 8
@@ -396,7 +397,6 @@ def find_pii(docs: DataFrame) -> DataFrame:
             every = [merged(*x) for x in zip(texts, base, tag_texts(tagger.value, texts), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(rows, base), kind), pa.array(map(rows, every), kind)], [*b.schema.names, "base_spans", "spans"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in shield.inner.schema)
-    shape = "array<struct<kind:string,start:bigint,end:bigint>>"
-    found = arrow_map(shield.inner, work, f"{fields}, base_spans {shape}, spans {shape}")
+    shape = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
+    found = arrow_map(shield.inner, work, extended(shield.inner.schema, StructField("base_spans", shape), StructField("spans", shape)))
     return shield.restore(found, base_spans=F.col("base_spans"), spans=F.col("spans"))

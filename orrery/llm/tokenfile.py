@@ -236,8 +236,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(payload[i : i + k].astype("<u4").tobytes()) for i, k in zip(at.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(b["keys"], pa.int64()), pa.array(first + at), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    return blocks.mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return arrow_map(blocks, digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -263,7 +262,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hits], pa.int64()), pa.array([x for _, x in hits], pa.list_(pa.int32()))], ["doc_id", "ids"])
                     ask, turn = [k for k, _ in hits], turn + 1
 
-    return blocks.mapInArrow(get, "doc_id bigint, ids array<int>")
+    return arrow_map(blocks, get, "doc_id bigint, ids array<int>")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:

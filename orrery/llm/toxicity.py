@@ -12,11 +12,14 @@ what the driver holds is bounded.  A term counts if ``MIN_ROWS`` of them have it
 statistic against the label is ``SIGNIFICANT`` or more, or if having it together with another term has
 a statistic greater than each alone by ``PAIR_GAIN`` or more (all pairs that can reach it are counted).
 The others are left out: a text has hundreds of terms that say nothing, by which it would be learned by
-heart (without any screen 71 to 83 of 144 toxic held-out documents are found at sf0.1).  The fitted weights (a few MB) go to executors.
+heart (without any screen 71 to 83 of 144 toxic held-out documents are found at sf0.1).  The machine is fitted inside one task
+on that bounded sample; only its weights (of the terms that count) pass through the driver to executors.
 
 Nulls: a null text is empty and has no terms, so its score is that of the bias; rows whose doc_id
-or label is null aren't used for fitting.  Repeated rows are scored alike; an empty label table gives
-score 0 everywhere.  Other columns pass unchanged where they are kept.
+or label is null aren't used for fitting.  Repeated rows are scored alike; ties in the sample's order are
+between equal rows.  Labels of one kind only, or none, tell nothing: the score is then 0.5 at most everywhere
+(0 without a label 1), so nothing is predicted toxic.  A text of any length counts whole.  Other columns pass unchanged;
+one named like an output, in any case, is replaced by it.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from .common import Shield, arrow_map, text_or_empty
+from .common import Shield, arrow_map, extended, text_or_empty
 
 BUCKETS, FACTORS, SAMPLE_ROWS, MIN_ROWS, SIGNIFICANT, PAIR_GAIN, THRESHOLD = 1 << 17, 4, 6000, 3, 15.0, 60.0, 0.7
 PREFIXES = (3, 4, 5, 6, 7)
@@ -111,8 +115,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: floa
     for x in rows:
         counts[x] += 1
     n1 = int(labels.sum())
-    if not len(labels) or n1 == 0 or n1 == len(labels):
-        return Machine(30.0 if n1 else -30.0, w, v * 0, np.zeros(BUCKETS, dtype=bool))
+    if not len(labels) or n1 == 0 or n1 == len(labels):  # nothing to tell apart
+        return Machine(0.0 if n1 else -30.0, w, v * 0, np.zeros(BUCKETS, dtype=bool))
     with1 = np.zeros(BUCKETS, dtype=np.int64)
     for x, y in zip(rows, labels, strict=True):
         if y:
@@ -157,8 +161,25 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(terms(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["y", "x", "h"])
 
     # an id may stand for many rows, so the bound is kept again; the order makes reruns agree
-    got = arrow_map(texts.select("y", "text", F.xxhash64("doc_id", "text").alias("h")), work, "y int, x array<int>, h bigint").orderBy("h", "y").limit(sample_rows).toPandas()
-    return fit([np.asarray(x, dtype=np.int32) for x in got["x"]], got["y"].to_numpy(dtype=np.int64))
+    sample = arrow_map(texts.select("y", "text", F.xxhash64("doc_id", "text").alias("h")), work, "y int, x array<int>, h bigint").orderBy("h", "y").limit(sample_rows)
+
+    def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels = [], []
+        for b in batches:
+            stops = b.column(1).offsets.to_numpy()
+            flat = b.column(1).values.to_numpy()
+            rows += [flat[a:z].copy() for a, z in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+            labels += b.column(0).to_pylist()
+        order = sorted(range(len(rows)), key=lambda i: (labels[i], rows[i].tobytes()))
+        m = fit([rows[i] for i in order], np.array([labels[i] for i in order], np.int64))
+        at = np.flatnonzero(m.known)
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([m.w[at].tolist()], pa.list_(pa.float64())), pa.array([m.v[at].ravel().tolist()], pa.list_(pa.float64()))], ["bias", "at", "w", "v"])
+
+    got = arrow_map(sample.coalesce(1), fitted, "bias double, at array<bigint>, w array<double>, v array<double>").first()
+    m = Machine(-30.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)), np.zeros(BUCKETS, dtype=bool))
+    if got:
+        m.bias, m.w[got["at"]], m.v[got["at"]], m.known[got["at"]] = got.bias, got.w, np.reshape(got.v, (-1, FACTORS)), True
+    return m
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
@@ -176,8 +197,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
                 out.append(m.of(np.array(sorted(found), dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
-    scored = arrow_map(shield.inner, work, f"{fields}, score double")
+    scored = arrow_map(shield.inner, work, extended(schema, StructField("score", DoubleType())))
     return shield.restore(scored, score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"))
 
 

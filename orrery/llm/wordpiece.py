@@ -24,8 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from .common import Shield, arrow_map
+from .common import Shield, arrow_map, extended
 
 MAX_WORDS = 400_000
 _WORD = regex.compile(r"\p{L}+|\p{N}+|[^\p{L}\p{N}]+")
@@ -135,5 +136,5 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             counts = [sum(map(get, t.split())) if t else 0 for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], [*b.schema.names, "n_tokens"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in shield.inner.schema)
-    return shield.restore(arrow_map(shield.inner, work, f"{fields}, n_tokens bigint"), n_tokens=F.col("n_tokens"))
+    schema = extended(shield.inner.schema, StructField("n_tokens", LongType()))
+    return shield.restore(arrow_map(shield.inner, work, schema), n_tokens=F.col("n_tokens"))

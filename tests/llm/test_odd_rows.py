@@ -36,7 +36,7 @@ def test_jaccard(docs):
         assert four == [(4, 0), (4, 2), (4, 2), (4, 2)]
         assert all(r.class_id == r.doc_id and r.n_links == 0 for r in out if r.doc_id not in (4, 5))
     kept = jaccard.drop_near_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == (6 if out else 0)
+    assert kept.columns == docs.columns and kept.count() == (7 if out else 0)
 
 
 def test_toxicity(spark, docs):
@@ -98,3 +98,23 @@ def test_lines(docs):
     assert lines.dedup_lines(docs).count() == docs.count()
     if out:
         assert out[1, None].n_lines == 1 and out[6, " \n \t"].n_dropped == 0 and all(r.n_dropped == 0 for r in out.values() if r.doc_id == 4)
+
+
+def test_names_in_another_case_and_odd_types(spark, tmp_path):
+    df = spark.createDataFrame([(1, "some text", (3,), 0.5)], "doc_id bigint, text string, s struct<`a b`:int>, Score double")
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")
+    out = toxicity.score(df, toxicity.train(df, labels))
+    out.write.parquet(str(tmp_path / "t"))
+    assert out.columns == ["doc_id", "text", "s", "score", "predicted"] and out.first().predicted == 0
+    assert pii.find_pii(df).first().s[0] == 3 and wordpiece.token_counts(df, vocabulary("byte_bpe_50k.json")).first().s[0] == 3
+
+
+def test_labels_of_one_kind_reject_nothing(spark, odd):
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id bigint, toxic int")
+    assert toxicity.drop_toxic(odd, labels).count() == odd.count()
+
+
+def test_session_settings_stay(spark, odd, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tokenfile.token_output(odd, vocabulary("word_bpe_49k.json"), path=str(tmp_path / "t")).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

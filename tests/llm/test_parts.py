@@ -105,7 +105,25 @@ def test_greedy_longest_match():
             rest, n = rest[k:], n + 1
         assert auto.count(word) == n
     small = wordpiece.Automaton(["a", "ab", "abcd", "cde"])
-    assert [small.count(w) for w in ("abcde", "abcd", "abce", "", "x")] == [2, 1, 1, 0, 1]
+    # abcd is taken, then nothing fits e: one unknown token
+    assert [small.count(w) for w in ("abcde", "abcd", "abce", "", "x")] == [1, 1, 1, 0, 1]
+
+
+def test_greedy_in_random_vocabularies():
+    rng = random.Random(7)
+    for _ in range(500):
+        own = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12))}
+        auto = wordpiece.Automaton(sorted(own))
+        for _ in range(10):
+            rest = word = "".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))
+            n = 0
+            while rest:
+                k = next((k for k in range(len(rest), 0, -1) if rest[:k] in own), 0)
+                if not k:
+                    n = 1
+                    break
+                rest, n = rest[k:], n + 1
+            assert auto.count(word) == n
 
 
 @settings(max_examples=200)

@@ -90,29 +90,37 @@ def test_fingerprints_near_truth(spark, sf, texts):
 
 
 def test_line_groups(spark, sf, texts):
+    """Against edit similarity alone: nothing else goes, and recall."""
     places = defaultdict(list)
     for d in sorted(texts):
         for k, line in enumerate(texts[d].split("\n")):
             if x := lines.normalise(line):
                 places[x].append((d, k))
-    known = [x for x in places if len(x.split()) >= lines.MIN_WORDS]
-    sims, root = lines.simhashes(known), {x: x for x in places}
+    known = sorted(places, key=len)
+    size, counts, root = np.array(list(map(len, known))), lines._counts(known), {x: x for x in places}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
+    pairs = 0
     for i, a in enumerate(known):
-        for j in np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= lines.FLIPS) + i + 1:
-            if lines.similar(a, known[j]):
+        stop = int(np.searchsorted(size, len(a) / lines.SIMILARITY + 1e-9, "right"))
+        for j in np.flatnonzero(np.abs(counts[i + 1 : stop] - counts[i]).sum(1) <= 4 * lines.allowed(len(known[stop - 1]))) + i + 1:
+            if find(a) != find(known[j]) and lines.similar(a, known[j]):
                 root[find(known[j])] = find(a)
+                pairs += 1
     first = {}
     for x in places:
         first[find(x)] = min(first.get(find(x), (1 << 60, 0)), *places[x])
     want = Counter(d for x in places for d, k in places[x] if (d, k) != first[find(x)])
+    equal = sum(map(len, places.values())) - len(places)
+    got = {r.doc_id: r.n_dropped for r in QUERIES["op10_line_dedup"](spark, sf).collect()}
     # of equal ids the order is by a hash of the text, and ids are unique here
-    assert {r.doc_id: r.n_dropped for r in QUERIES["op10_line_dedup"](spark, sf).collect()} == {d: want.get(d, 0) for d in texts}
+    assert pairs > 20 and sum(want.values()) == equal + pairs
+    assert equal + 0.9 * pairs <= sum(got.values()) <= equal + pairs
+    assert sum(abs(got[d] - want.get(d, 0)) for d in texts) <= 0.2 * pairs
 
 
 def test_toxicity_held_out(spark):

