@@ -62,7 +62,8 @@ def _with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, list[int]]:
     below = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b >= F.col("doc_id")))
     part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(below)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_part", part).repartition(parts, "_part")
+    # a range is a task; a hash of its number would put several into one
+    rows = rows.withColumn("_part", part).repartitionById(len(bounds) + 2, F.col("_part").cast("int"))
     order = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
     rows = rows.withColumns({"_nth": F.row_number().over(order), "_lead": F.lead("text").over(order)})
     heads = rows.where("_nth = 1").select("_part", F.col("text").alias("_head"))

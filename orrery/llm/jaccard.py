@@ -230,8 +230,9 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     classes = components(compared.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    facts = nodes.join(links, "node", "left").join(classes, "node", "left").select("node", "copies", "doc_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
-    least = facts.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    facts = settled(nodes.join(links, "node", "left").join(classes, "node", "left").select("node", "copies", "doc_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label")), "facts")
+    # tables of their own, so that the join is between plain shuffles and a large class can be split
+    least = settled(facts.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least")
     final = facts.join(least, "label").select("node", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     return named.select("doc_id", "th", "node").join(final, "node").select("doc_id", "th", "label", "class_id", "n_links")
 
