@@ -45,13 +45,31 @@ BODY_RULES: dict[str, Rule] = {"isLandable": last_given, "isTidallyLocked": last
 STATION_RULES: dict[str, Rule] = {"haveMarket": sticky, "haveShipyard": sticky, "haveOutfitting": sticky, "otherServices": last_filled}
 
 
-def fold(patches: DataFrame, keys: list[str], rules: dict[str, Rule], seq: str = "seq", keep_seq: bool = False) -> DataFrame:
-    """One row a key.  Rows with a null in the key are dropped; columns without a rule keep the last known value."""
+#: Columns that come from one patch: the last that has them all.
+PLACE = ("x", "y", "z")
+
+
+def _together(columns: tuple[str, ...], seq: str) -> dict[str, Column]:
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    last = F.max_by(F.struct(*columns), F.when(whole, F.col(seq)))
+    return {c: last[c] for c in columns}
+
+
+def fold(patches: DataFrame, keys: list[str], rules: dict[str, Rule], seq: str = "seq", keep_seq: bool = False, now: Column | None = None) -> DataFrame:
+    """One row a key.  Rows with a null in the key are dropped; columns without a rule keep the last known value.
+
+    Coordinates are replaced as a whole; with ``now``, ``last_update`` is that, whatever the patches say.
+    """
     known = patches
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    values = [c for c in patches.columns if c not in keys and c != seq]
-    out = [rules.get(c, last_known)(c, seq).alias(c) for c in values]
+    values = [c for c in patches.columns if c not in keys and c != seq and not (now is not None and c == "last_update")]
+    place = _together(PLACE, seq) if set(PLACE) <= set(values) else {}
+    out = [(place[c] if c in place else rules.get(c, last_known)(c, seq)).alias(c) for c in values]
+    if now is not None:
+        out.append(F.max(now).alias("last_update"))
     return known.groupBy(*keys).agg(*out, *([F.max(seq).alias(seq)] if keep_seq else []))
 
 

@@ -1,14 +1,15 @@
 """Route planning over implicit graphs: systems are nodes, an edge joins two within a range.
 
 Every edge costs one jump, so the best route is a breadth-first search.  A capsule around the line
-of travel bounds the nodes; up to ``LOCAL_NODES`` of them are searched in memory with numpy, more
-level by level as joins, whose lineage is cut at a checkpoint each level.
+of travel bounds the nodes; up to ``LOCAL_NODES`` of them are searched in memory with numpy, ship routes
+over more level by level as joins of the frontier, whose lineage is cut at a checkpoint each level.  A carrier's
+greedy route is an aggregate a step over any number of systems.  Searches for carriers and neutron routes
+refuse more than ``LOCAL_NODES`` systems in a capsule.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
 
+from orrery.sources.shared import shared_dir
+
 from .search import grid_join, nearest_in_boxes
 
 LOCAL_NODES = 200_000
@@ -39,7 +42,9 @@ class Nodes:
     xyz: np.ndarray
 
     @classmethod
-    def of(cls, df: DataFrame) -> Nodes:
+    def of(cls, df: DataFrame, most: int = LOCAL_NODES) -> Nodes:
+        if df.limit(most + 1).count() > most:
+            raise RouteError(f"more than {most} systems to search in memory")
         t = df.select("id64", "x", "y", "z").orderBy("id64").toPandas()
         return cls(t["id64"].to_numpy(np.int64), t[["x", "y", "z"]].to_numpy(np.float64))
 
@@ -90,21 +95,20 @@ def _path(parent: np.ndarray, goal: int) -> list[int]:
 def _checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
 def depths_joined(nodes: DataFrame, start: int, radius: float, most: int = 10_000) -> DataFrame:
     """Depths by level-synchronous joins, for node sets of any size: id64, depth, parent."""
-    edges = grid_join(nodes, nodes, radius).select("a", "b").persist()
     seen = _checkpointed(nodes.where(F.col("id64") == start).select("id64", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent")))
     frontier, level = seen, 0
     while level < most and not frontier.isEmpty():
         level += 1
-        step = edges.join(frontier.select(F.col("id64").alias("a")), "a").groupBy(F.col("b").alias("id64")).agg(F.min("a").alias("parent"))
+        # only the frontier meets its neighbours, so that no list of all pairs in range is ever made
+        step = grid_join(frontier.select("id64").join(nodes, "id64"), nodes, radius).groupBy(F.col("b").alias("id64")).agg(F.min("a").alias("parent"))
         frontier = _checkpointed(step.join(seen, "id64", "left_anti").select("id64", F.lit(level).alias("depth"), "parent"))
         seen = _checkpointed(seen.unionByName(frontier))
-    edges.unpersist()
     return seen
 
 
@@ -143,26 +147,28 @@ def capsule(systems: DataFrame, a: Point, b: Point, half: float) -> DataFrame:
     return systems.where(S.in_capsule(F.col("x"), F.col("y"), F.col("z"), a, b, half))
 
 
-def carrier_greedy(nodes: Nodes, start: int, goal: int) -> list[int]:
-    """Aim one range ahead and take, from the first box around the aim that has any, the system closest to the goal."""
-    at, b, out = nodes.at(start), nodes.at(goal), []
-    end = nodes.xyz[b]
-    to_goal = np.sqrt(((nodes.xyz - end) ** 2).sum(1))
+def carrier_greedy(systems: DataFrame, place: dict[int, Point], start: int, goal: int) -> list[int]:
+    """Aim one range ahead and take, from the first box around the aim that has any, the system closest to the goal.
+
+    Each step is one aggregate over the box, of which one row comes to the driver.
+    """
+    at, end, out = place[start], place[goal], [start]
+    xyz, to_goal = [F.col(c) for c in "xyz"], S.distance(*map(F.col, "xyz"), *map(F.lit, end))
     for _ in range(CARRIER_STEPS):
-        here, left = nodes.xyz[at], to_goal[at]
+        left = math.dist(at, end)
         if left <= CARRIER_RANGE:
             break
-        aim = here + (end - here) / left * CARRIER_AIM
-        for half in CARRIER_BOXES:
-            d = np.sqrt(((nodes.xyz - here) ** 2).sum(1))
-            ok = np.flatnonzero((np.abs(nodes.xyz - aim) <= half).all(1) & (d > 0) & (d <= CARRIER_RANGE) & (to_goal < left))
-            if len(ok):
-                at = int(ok[np.argmin(to_goal[ok])])
-                out.append(at)
-                break
-        else:
+        aim = [a + (e - a) / left * CARRIER_AIM for a, e in zip(at, end, strict=True)]
+        d = S.distance(*xyz, *map(F.lit, at))
+        off = F.greatest(*[F.abs(c - F.lit(m)) for c, m in zip(xyz, aim, strict=True)])
+        near = systems.where((off <= CARRIER_BOXES[-1]) & (d > 0) & (d <= CARRIER_RANGE) & (to_goal < left))
+        box = F.coalesce(*[F.when(off <= half, F.lit(half)) for half in CARRIER_BOXES])
+        best = near.agg(F.min(F.struct(box.alias("box"), to_goal.alias("left"), "id64", "x", "y", "z")).alias("m")).first().m
+        if best is None:
             raise RouteError("no system within a jump ahead")
-    return [nodes.at(start), *out, b]
+        at = (best.x, best.y, best.z)
+        out.append(best.id64)
+    return [*out, goal]
 
 
 def carrier_route(systems: DataFrame, start: int, goal: int, engine: str = "greedy") -> tuple[list[int], bool]:
@@ -170,14 +176,15 @@ def carrier_route(systems: DataFrame, start: int, goal: int, engine: str = "gree
     place = {r.id64: (r.x, r.y, r.z) for r in systems.where(F.col("id64").isin(start, goal)).select("id64", "x", "y", "z").collect()}
     if {start, goal} - set(place):
         raise RouteError("unknown system")
-    nodes = Nodes.of(capsule(systems, place[start], place[goal], CARRIER_WIDTH))
-    greedy = carrier_greedy(nodes, start, goal)
+    near = capsule(systems, place[start], place[goal], CARRIER_WIDTH)
+    greedy = carrier_greedy(near, place, start, goal)
     if engine != "greedy":
+        nodes = Nodes.of(near)
         b = nodes.at(goal)
         depth, parent = _search(nodes, nodes.at(start), lambda _: CARRIER_RANGE, CARRIER_RANGE, b, len(greedy) - 2)
         if 0 < depth[b] < len(greedy) - 1:
             return nodes.ids[_path(parent, b)].tolist(), True
-    return nodes.ids[greedy].tolist(), False
+    return greedy, False
 
 
 def fuel_steps(hops: DataFrame, tank: float, market: float, cargo: float = 0.0, squadron: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import scalars as S
 
 # Event kinds, and fields that are copied under another name.
-JOURNAL, JUMPS = "journal/1", ("FSDJump", "Location", "CarrierJump")
+JOURNAL, JUMPS = "https://eddn.edcd.io/schemas/journal/", ("FSDJump", "Location", "CarrierJump")
 SCAN_FIELDS = {
     "distanceToArrival": ("DistanceFromArrivalLS", "double"), "surfaceTemperature": ("SurfaceTemperature", "double"), "orbitalEccentricity": ("Eccentricity", "double"),
     "orbitalInclination": ("OrbitalInclination", "double"), "argOfPeriapsis": ("Periapsis", "double"), "isTidallyLocked": ("TidalLock", "flag"), "axisTilt": ("AxialTilt", "double"),
@@ -20,54 +20,60 @@ SCAN_FIELDS = {
 }
 
 
-def kind(v: Column, path: str) -> Column:
-    """Type name of what stands at a path, upper case; null if nothing or null stands there."""
-    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), r"^\w+", 0)
-
-
-def _get(v: Column, path: str, kinds: tuple[str, ...], to: str) -> Column:
-    return F.when(kind(v, path).isin(*kinds), F.try_variant_get(v, path, to))
+def shape(v: Column, path: str) -> Column:
+    """Type of what stands at a path, upper case; null if nothing stands there, VOID for JSON's null."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
 def text(v: Column, path: str) -> Column:
     """Strings only."""
-    return _get(v, path, ("STRING",), "string")
+    return F.when(shape(v, path) == "STRING", F.try_variant_get(v, path, "string"))
 
 
 def integer(v: Column, path: str) -> Column:
     """Integer numbers only."""
-    return _get(v, path, ("BIGINT",), "bigint")
+    return F.when(shape(v, path) == "BIGINT", F.try_variant_get(v, path, "bigint"))
 
 
 def number(v: Column, path: str) -> Column:
     """Any number, no strings."""
-    return _get(v, path, ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "double")
+    kind = shape(v, path)
+    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, path, "double"))
+
+
+def _boolean(v: Column, path: str) -> Column:
+    return F.when(shape(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("int"))
 
 
 def flag(v: Column, path: str) -> Column:
     """A boolean as 1 or 0; anything else, or nothing, is 0."""
-    return F.coalesce(_get(v, path, ("BOOLEAN",), "boolean").cast("int"), F.lit(0))
+    return F.coalesce(_boolean(v, path), F.lit(0))
 
 
 def flag_or_int(v: Column, path: str) -> Column:
-    return F.coalesce(_get(v, path, ("BOOLEAN",), "boolean").cast("int"), integer(v, path).cast("int"))
+    return F.coalesce(_boolean(v, path), integer(v, path).cast("int"))
 
 
 def json(v: Column, path: str) -> Column:
     """Whatever stands there as JSON text, null for JSON's null."""
-    return F.when(~kind(v, path).isin("VOID"), F.to_json(F.try_variant_get(v, path, "variant")))
+    return F.when(shape(v, path) != "VOID", F.to_json(F.try_variant_get(v, path, "variant")))
 
 
 _READ = {"double": number, "bigint": integer, "string": text, "flag": flag, "int": flag_or_int, "json": json}
 
 
-def messages(frames: DataFrame, payload: str = "json") -> DataFrame:
-    """Journal messages that name a system: event, id64, system and the message as a VARIANT."""
-    v = F.try_parse_json(F.col(payload))
-    rows = frames.withColumn("_v", v).where(F.coalesce(text(F.col("_v"), "$['$schemaRef']").contains(JOURNAL), F.lit(False)))
-    rows = rows.withColumn("message", F.try_variant_get("_v", "$.message", "variant")).drop("_v")
+def _once(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with columns that are computed once: a generator stands between them and what reads them, so that
+    filters aren't pushed below it with a copy of the expression each."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
+def messages(frames: DataFrame, payload: str = "json", schema: str = JOURNAL) -> DataFrame:
+    """Journal messages that name a system: event, id64, system and the message as a VARIANT.  A frame's schema begins with ``schema``."""
+    rows = _once(frames, _v=F.try_parse_json(F.col(payload)))
+    rows = _once(rows, _schema=text(F.col("_v"), "$['$schemaRef']"), message=F.try_variant_get("_v", "$.message", "variant")).drop("_v")
     m = F.col("message")
-    rows = rows.withColumns({"event": text(m, "$.event"), "id64": integer(m, "$.SystemAddress"), "system": text(m, "$.StarSystem")})
+    rows = _once(rows.where(F.col("_schema").startswith(schema)).drop("_schema"), event=text(m, "$.event"), id64=integer(m, "$.SystemAddress"), system=text(m, "$.StarSystem"))
     return rows.where("event is not null and id64 is not null and system <> ''")
 
 
@@ -79,7 +85,7 @@ def systems(rows: DataFrame) -> DataFrame:
     """Patches of systems: every event names one, only jumps say more."""
     m, jump = F.col("message"), F.col("event").isin(*JUMPS)
     place = [number(m, f"$.StarPos[{i}]") for i in range(3)]
-    whole = place[0].isNotNull() & place[1].isNotNull() & place[2].isNotNull() & kind(m, "$.StarPos[3]").isNull()
+    whole = place[0].isNotNull() & place[1].isNotNull() & place[2].isNotNull() & shape(m, "$.StarPos[3]").isNull()
     said = {
         **{c: F.when(whole, p) for c, p in zip("xyz", place, strict=True)},
         "population": integer(m, "$.Population"), "allegiance": F.nullif(text(m, "$.SystemAllegiance"), F.lit("")), "government": _localised("SystemGovernment"),

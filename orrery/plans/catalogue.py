@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +10,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
 from orrery.operators import heatmap, merge, routing, search, translate
-from orrery.sources import fixtures
+from orrery.sources import feeds, fixtures, patches
+from orrery.sources.shared import shared_path
 from orrery.streaming import live
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -151,8 +150,7 @@ def merge_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT id64, max_by(allegiance, seq) FILTER (WHERE allegiance IS NOT NULL) AS allegiance, coalesce(max_by(population, seq) FILTER (WHERE population > 0), 0) AS population, max_by(security, seq) FILTER (WHERE security IS NOT NULL) AS security FROM ({_SYSTEM_PATCHES}) p GROUP BY id64", head="")
 def stream_merge_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same patches through a stream, in micro-batches of one file each."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = shared_path(spark, "stream")
     patches = fixtures._view(spark, sf_dir, _SYSTEM_PATCHES)
     for k in range(3):  # one after another: a stream takes files by age
         patches.where(F.col("seq") * 3 >= k * 15_000).where((F.lit(k) == 2) | (F.col("seq") * 3 < (k + 1) * 15_000)).coalesce(1).write.mode("append").parquet(f"{root}/in")
@@ -229,8 +227,33 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.systems(spark, sf_dir).withColumns({c: F.col(c) * 10.0 for c in "xyz"})
 
 
-@query()
+_CARRIER = f""", w AS (SELECT id64, name, x*CAST(10 AS DOUBLE) AS x, y*CAST(10 AS DOUBLE) AS y, z*CAST(10 AS DOUBLE) AS z FROM systems),
+e AS (SELECT x AS ex, y AS ey, z AS ez FROM w WHERE id64 = 100),
+g(step, id64, hx, hy, hz) AS (SELECT 0, id64, x, y, z FROM w WHERE id64 = 1 UNION ALL
+ SELECT step + 1, arg_min(id64, (box, t, id64)), arg_min(x, (box, t, id64)), arg_min(y, (box, t, id64)), arg_min(z, (box, t, id64)) FROM (
+  SELECT *, {" ".join(f"{'CASE' if k == 0 else ''} WHEN off <= CAST({b} AS DOUBLE) THEN {k}" for k, b in enumerate(routing.CARRIER_BOXES))} END AS box FROM (
+   SELECT step, w.id64, x, y, z, sqrt((x-ex)*(x-ex)+(y-ey)*(y-ey)+(z-ez)*(z-ez)) AS t, sqrt((x-hx)*(x-hx)+(y-hy)*(y-hy)+(z-hz)*(z-hz)) AS d, h,
+    greatest(abs(x-(hx+(ex-hx)/h*CAST(498.5 AS DOUBLE))), abs(y-(hy+(ey-hy)/h*CAST(498.5 AS DOUBLE))), abs(z-(hz+(ez-hz)/h*CAST(498.5 AS DOUBLE)))) AS off
+   FROM (SELECT *, sqrt((hx-ex)*(hx-ex)+(hy-ey)*(hy-ey)+(hz-ez)*(hz-ez)) AS h FROM g, e) g2 JOIN w ON h > 500) c
+  WHERE off <= 140 AND d > 0 AND d <= 500 AND t < h) c2 GROUP BY step),
+r AS (SELECT step, id64 FROM g UNION ALL SELECT max(step) + 1, 100 FROM g),
+q AS (SELECT r.step, r.id64, name, x, y, z FROM r JOIN w ON w.id64 = r.id64),
+p AS (SELECT *, coalesce(sqrt((x-lag(x) OVER v)*(x-lag(x) OVER v)+(y-lag(y) OVER v)*(y-lag(y) OVER v)+(z-lag(z) OVER v)*(z-lag(z) OVER v)), 0) AS back,
+ sqrt((x-first(x) OVER v)*(x-first(x) OVER v)+(y-first(y) OVER v)*(y-first(y) OVER v)+(z-first(z) OVER v)*(z-first(z) OVER v)) AS straight FROM q WINDOW v AS (ORDER BY step))
+SELECT CAST(step AS INTEGER) AS step, CAST(id64 AS VARCHAR) AS id64, name, round(back*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS distance_from_prev, round(coalesce(lead(back) OVER (ORDER BY step), 0)*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS jump_distance,
+ round(sum(back) OVER (ORDER BY step)*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS distance_from_start, round(straight*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS straight_from_start, false AS used_neutron_boost FROM p"""
+
+
+@query(_CARRIER, head=_WITH.rstrip())
 def carrier_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    systems = _wide(spark, sf_dir)
+    route, _ = routing.carrier_route(systems, 1, 100, "greedy")
+    return routing.render(systems, route)
+
+
+@query()
+def carrier_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy route, or a searched one of fewer jumps."""
     systems = _wide(spark, sf_dir)
     route, _ = routing.carrier_route(systems, 1, 100, "astar")
     return routing.render(systems, route)
@@ -380,6 +403,7 @@ def token_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("id"), S.strip_token(F.concat(F.lit("$gov_"), "o_orderstatus", F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(";"))).alias("token"))
 
 
+_SCHEMA = "https://x/journal/"
 _MESSAGE = """SELECT o_orderkey AS seq, concat('{"$schemaRef":"https://x/journal/1","message":{"event":"', CASE o_orderkey % 4 WHEN 0 THEN 'FSDJump' WHEN 1 THEN 'Scan' WHEN 2 THEN 'Docked' ELSE 'Music' END,
  '","SystemAddress":', o_custkey, ',"StarSystem":"S', o_custkey, '","StarPos":[', o_custkey % 100, ',0.5,', o_orderkey % 50, '],"BodyID":', o_orderkey % 7, ',"BodyName":"B","StarType":"N","SurfacePressure":', o_orderkey,
  ',"OrbitalPeriod":', o_orderkey, ',"Radius":', o_orderkey, ',"MarketID":', o_orderkey, ',"StationName":"T","StationServices":["Market","Dock","Missions"]}}') AS json FROM orders"""
@@ -387,24 +411,24 @@ _MESSAGE = """SELECT o_orderkey AS seq, concat('{"$schemaRef":"https://x/journal
 
 @query("SELECT o_custkey AS \"systemId64\", CAST(o_orderkey % 7 AS BIGINT) AS \"bodyId\", 'Neutron Star' AS \"subType\", o_orderkey/CAST(101325 AS DOUBLE) AS \"surfacePressure\", o_orderkey/CAST(86400 AS DOUBLE) AS \"orbitalPeriod\", o_orderkey/CAST(695700000 AS DOUBLE) AS \"solarRadius\", o_orderkey/CAST(1000 AS DOUBLE) AS radius FROM orders WHERE o_orderkey % 4 = 1", head="")
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = translate.bodies(translate.messages(fixtures._view(spark, sf_dir, _MESSAGE)))
+    found = translate.bodies(translate.messages(fixtures._view(spark, sf_dir, _MESSAGE), schema=_SCHEMA))
     return found.select("systemId64", "bodyId", "subType", "surfacePressure", "orbitalPeriod", "solarRadius", "radius")
 
 
 @query("SELECT o_custkey AS \"systemId64\", o_orderkey AS id, CAST(1 AS INTEGER) AS \"haveMarket\", CAST(0 AS INTEGER) AS \"haveShipyard\", CAST(0 AS INTEGER) AS \"haveOutfitting\", '[\"Missions\"]' AS \"otherServices\" FROM orders WHERE o_orderkey % 4 = 2", head="")
 def service_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = translate.stations(translate.messages(fixtures._view(spark, sf_dir, _MESSAGE)))
+    found = translate.stations(translate.messages(fixtures._view(spark, sf_dir, _MESSAGE), schema=_SCHEMA))
     return found.select("systemId64", "id", "haveMarket", "haveShipyard", "haveOutfitting", "otherServices")
 
 
 @query("SELECT CASE o_orderkey % 4 WHEN 0 THEN 'FSDJump' WHEN 1 THEN 'Scan' WHEN 2 THEN 'Docked' ELSE 'Music' END AS event, count(*) AS n, count(DISTINCT o_custkey) AS systems FROM orders GROUP BY ALL", head="")
 def event_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return translate.messages(fixtures._view(spark, sf_dir, _MESSAGE)).groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id64").alias("systems"))
+    return translate.messages(fixtures._view(spark, sf_dir, _MESSAGE), schema=_SCHEMA).groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id64").alias("systems"))
 
 
 @query("SELECT o_custkey AS id64, concat('S', o_custkey) AS name, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey % 100 AS DOUBLE) END AS x, CASE WHEN o_orderkey % 4 = 0 THEN CAST(0.5 AS DOUBLE) END AS y, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 50 AS DOUBLE) END AS z FROM orders WHERE o_orderkey % 4 < 3", head="")
 def jump_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return translate.systems(translate.messages(fixtures._view(spark, sf_dir, _MESSAGE))).select("id64", "name", "x", "y", "z")
+    return translate.systems(translate.messages(fixtures._view(spark, sf_dir, _MESSAGE), schema=_SCHEMA)).select("id64", "name", "x", "y", "z")
 
 
 @query("SELECT count(*) AS received, CAST(count(*) FILTER (WHERE o_orderkey % 4 < 3 AND o_orderkey % 10 <> 0) AS BIGINT) AS processed, CAST(count(*) FILTER (WHERE o_orderkey % 10 = 0) AS BIGINT) AS dropped, CAST(count(*) FILTER (WHERE o_orderkey % 4 = 3 AND o_orderkey % 10 <> 0) AS BIGINT) AS ignored FROM orders", head="")
@@ -414,3 +438,104 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     handled = F.coalesce(translate.text(v, "$.message.event").isin(*translate.JUMPS, "Scan", "Docked", "SAASignalsFound"), F.lit(False))
     return live.ingest_stats(frames, "json", v, handled)
 
+
+# ------------------------------------------------------------------ ingest
+_DUMP = """SELECT c_custkey AS seq, concat('{"id64":', CASE WHEN c_custkey % 17 = 0 THEN 'null' ELSE CAST(c_custkey AS VARCHAR(20)) END, ',"name":"', c_name, '","population":', c_custkey % 5, ',"coords":{"x":', c_custkey % 100, '.5,"y":0.25,"z":-', c_custkey % 7,
+ '},"controllingFaction":{"name":"F', c_nationkey, '"},"bodies":[{"bodyId":', CASE WHEN c_custkey % 5 = 0 THEN '"7"' ELSE CAST(c_custkey % 9 AS VARCHAR(20)) END, ',"subType":"Neutron Star","isLandable":', CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '1' END,
+ ',"surfaceTemperature":', c_custkey % 1000, CASE WHEN c_custkey % 2 = 0 THEN '.75' ELSE '' END, ',"solarMasses":', CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE '1.5' END, ',"stellarMass":2.5,"wasMapped":', CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN '4' ELSE '"x"' END,
+ ',"age":', CASE WHEN c_custkey % 2 = 0 THEN '12' ELSE '12.5' END, ',"axialTilt":0.125,"signals":', CASE WHEN c_custkey % 6 = 0 THEN 'null' ELSE '[{"n":1}]' END, '}],"stations":[{"id":', c_custkey, ',"name":"T","government":"', CASE WHEN c_custkey % 8 = 0 THEN 'PRISON' ELSE 'Other' END,
+ '","primaryEconomy":"Refinery","services":["Shipyard","Dock","Missions",3,"Autodock"],"landingPads":{"Large":', c_custkey % 3, '}}]}') AS json FROM customer"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.documents(fixtures._view(spark, sf_dir, _DUMP))
+
+
+@query("""SELECT c_custkey AS id64, c_name AS name, CAST(c_custkey % 5 AS BIGINT) AS population, (c_custkey % 100) + CAST(0.5 AS DOUBLE) AS x, CAST(0.25 AS DOUBLE) AS y, CAST(-(c_custkey % 7) AS DOUBLE) AS z, concat('{"name":"F', c_nationkey, '"}') AS "controllingFaction" FROM customer WHERE c_custkey % 17 <> 0""", head="")
+def dump_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as patches of systems; one without an id is skipped."""
+    return patches.systems(_documents(spark, sf_dir)).select("id64", "name", "population", "x", "y", "z", "controllingFaction")
+
+
+@query("""SELECT c_custkey AS "systemId64", CAST(c_custkey % 9 AS BIGINT) AS "bodyId", 'Neutron Star' AS "subType", CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS "isLandable", CAST(c_custkey % 1000 + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS "surfaceTemperature",
+ CASE WHEN c_custkey % 4 <> 0 THEN CAST(1.5 AS DOUBLE) END AS "stellarMass", CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 END AS "wasMapped", CASE WHEN c_custkey % 2 = 0 THEN CAST(12 AS BIGINT) END AS age, CAST(0.125 AS DOUBLE) AS "axisTilt", CASE WHEN c_custkey % 6 <> 0 THEN '[{"n":1}]' END AS signals
+ FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 5 <> 0""", head="")
+def dump_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of documents with the derived columns, merged; one without a number is dropped."""
+    found = patches.bodies(_documents(spark, sf_dir)).select("systemId64", "bodyId", "subType", "isLandable", "surfaceTemperature", "stellarMass", "wasMapped", "age", "axisTilt", "signals", "seq")
+    return merge.fold(found, ["systemId64", "bodyId"], {"isLandable": merge.last_given})
+
+
+@query("""SELECT c_custkey AS "systemId64", c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN 'PRISON' ELSE 'Other' END AS government, 'Refinery' AS economy, 0 AS "haveMarket", 1 AS "haveShipyard", '["Missions"]' AS "otherServices", concat('{"Large":', c_custkey % 3, '}') AS "landingPads" FROM customer WHERE c_custkey % 17 <> 0""", head="")
+def dump_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patches.stations(_documents(spark, sf_dir)).select("systemId64", "id", "government", "economy", "haveMarket", "haveShipyard", "otherServices", "landingPads")
+
+
+@query("SELECT c_custkey AS \"systemId64\" FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 8 = 0", head="")
+def dump_prisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return merge.prison_systems(patches.stations(docs), patches.systems(docs))
+
+
+@query("SELECT count(*) AS accepted FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey < 5000", head="")
+def push_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pushed batch within its bounds."""
+    rows = fixtures._view(spark, sf_dir, _DUMP).where("seq % 17 <> 0 and seq < 5000").select("json")
+    return feeds.pushed(rows).agg(F.count(F.lit(1)).alias("accepted"))
+
+
+@query("SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 10 <> 0 THEN concat('{\"n\":', o_orderkey, '}') END AS json FROM orders", head="")
+def frame_inflate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed frames as text; what isn't one is null."""
+    packed = F.when(F.col("seq") % 10 == 0, F.lit(b"no frame")).otherwise(feeds.deflate(F.concat(F.lit('{"n":'), F.col("seq").cast("string"), F.lit("}"))))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("seq"))
+    return rows.select("seq", feeds.inflate(packed).alias("json"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS DOUBLE) WHEN 1 THEN CAST(-1.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS x FROM orders", head="")
+def coordinate_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    text = F.when(key % 4 == 0, key.cast("string")).when(key % 4 == 1, F.lit("-1.5")).when(key % 4 == 2, F.lit("north"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("id"), feeds.coordinate(text).alias("x"))
+
+
+_SIGNALS = """SELECT o_orderkey AS seq, concat('{"$schemaRef":"', CASE WHEN o_orderkey % 11 = 0 THEN 'https://y/?u=https://x/journal/1' ELSE 'https://x/journal/1' END, '","message":{"event":"SAASignalsFound","SystemAddress":', o_custkey, ',"StarSystem":"S","BodyID":', CASE WHEN o_orderkey % 5 = 0 THEN '"1"' ELSE CAST(o_orderkey % 5 AS VARCHAR(20)) END,
+ ',"BodyName":"B","Signals":', CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE concat('[{"Count":', o_orderkey, '}]') END, ',"timestamp":"t', o_orderkey, '"}}') AS json FROM orders"""
+
+
+@query("SELECT o_custkey AS \"systemId64\", CAST(o_orderkey % 5 AS BIGINT) AS \"bodyId\", 'B' AS name, concat('[{\"Count\":', o_orderkey, '}]') AS signals, 0 AS \"isLandable\", concat('t', o_orderkey) AS \"updateTime\" FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0", head="")
+def signals_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found signals as patches of bodies; another schema, a number as text or no signals give none."""
+    found = translate.bodies(translate.messages(fixtures._view(spark, sf_dir, _SIGNALS), schema=_SCHEMA))
+    return found.select("systemId64", "bodyId", "name", "signals", "isLandable", "updateTime")
+
+
+_SCANS = """SELECT o_orderkey AS seq, concat('{"$schemaRef":"https://x/journal/1","message":{"event":"Scan","SystemAddress":', o_custkey, ',"StarSystem":"S","BodyID":', o_orderkey % 9, ',"BodyName":"B","PlanetClass":"Icy body"', """ + ", ".join(
+    f"""',"{source}":', {dict(double="o_orderkey", flag="CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '1' END", int="CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '3' END", string="concat('\"', o_orderpriority, '\"')", json="concat('[', o_orderkey, ']')", bigint="o_orderkey")[how]}""" for source, how in translate.SCAN_FIELDS.values()
+) + ", '}}') AS json FROM orders"
+_SCANNED = {"double": "CAST(o_orderkey AS DOUBLE)", "flag": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END", "int": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 3 END", "string": "o_orderpriority", "json": "concat('[', o_orderkey, ']')", "bigint": "o_orderkey"}
+
+
+@query("SELECT o_custkey AS \"systemId64\", CAST(o_orderkey % 9 AS BIGINT) AS \"bodyId\", " + ", ".join(f'{_SCANNED[how]} AS "{k}"' for k, (_, how) in translate.SCAN_FIELDS.items()) + " FROM orders", head="")
+def scan_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of a scan that are copied under another name."""
+    found = translate.bodies(translate.messages(fixtures._view(spark, sf_dir, _SCANS), schema=_SCHEMA))
+    return found.select("systemId64", "bodyId", *translate.SCAN_FIELDS)
+
+
+_JUMPS = """SELECT o_orderkey AS seq, concat('{"$schemaRef":"https://x/journal/1","message":{"event":"FSDJump","SystemAddress":', o_custkey, ',"StarSystem":"S","SystemGovernment":"$gov_Feudal_', o_orderkey % 3, ';"', CASE WHEN o_orderkey % 2 = 0 THEN ',"SystemGovernment_Localised":"Feudal"' ELSE '' END, '}}') AS json FROM orders"""
+
+
+@query("SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'Feudal' ELSE concat('Feudal_', o_orderkey % 3) END AS government FROM orders", head="")
+def localised_or_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return translate.systems(translate.messages(fixtures._view(spark, sf_dir, _JUMPS), schema=_SCHEMA)).select("seq", "government")
+
+
+_PLACES = "SELECT o_custkey % 50 AS id64, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS DOUBLE) END AS x, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey AS DOUBLE) END AS y, CAST(o_orderkey AS DOUBLE) AS z, o_orderkey AS seq FROM orders"
+
+
+@query(f"SELECT id64, max(seq) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS whole, CAST(max(seq) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS DOUBLE) AS x, CAST(max(seq) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS DOUBLE) AS y, CAST(max(seq) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS DOUBLE) AS z, CAST(77 AS BIGINT) AS last_update FROM ({_PLACES}) p GROUP BY id64", head="")
+def merge_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates come from one patch, and the time of the update is that of the import."""
+    found = merge.fold(fixtures._view(spark, sf_dir, _PLACES), ["id64"], merge.SYSTEM_RULES, now=F.lit(77).cast("bigint"))
+    return found.select("id64", F.col("x").cast("bigint").alias("whole"), "x", "y", "z", "last_update")

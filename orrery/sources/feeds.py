@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 PUSH_LIMIT = 10_000
 DOCUMENT = """id64 bigint, name string, population bigint, coords struct<x:double,y:double,z:double>, bodies array<variant>, stations array<variant>,
@@ -69,6 +69,12 @@ def inflate(frames: pd.Series) -> pd.Series:
     return frames.map(one)
 
 
+@F.pandas_udf(BinaryType())
+def deflate(texts: pd.Series) -> pd.Series:
+    """Texts as zlib frames."""
+    return texts.map(lambda t: None if t is None else zlib.compress(t.encode()))
+
+
 class _FrameReader(SimpleDataSourceStreamReader):
     """Takes what the connection has; after failures it waits ever longer, up to a minute."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.merge import split_services
-from orrery.operators.translate import flag, flag_or_int, integer, json, kind, number, text
+from orrery.operators.translate import flag, flag_or_int, integer, json, number, shape, text
 
 JSON_COLUMNS = ("controllingFaction", "factions", "powers", "powerConflictProgress", "thargoidWar")
 BODY_TEXT = ("name", "type", "subType", "volcanismType", "atmosphereType", "terraformingState", "luminosity", "spectralClass", "reserveLevel", "updateTime")
@@ -27,7 +27,7 @@ def systems(documents: DataFrame) -> DataFrame:
 
 
 def _present(v: Column, path: str) -> Column:
-    return kind(v, path).isNotNull()
+    return shape(v, path).isNotNull()
 
 
 def bodies(documents: DataFrame) -> DataFrame:

@@ -13,24 +13,37 @@ from orrery.streaming import live
 
 SF = "/root/testdata/sf0.001"
 #: Customers are few at this scale, so some routes don't exist.
-SPARSE = {"carrier_greedy", "neutron_greedy", "neutron_route", "neutron_bfs_hops", "ship_bfs_depths_joined"}
+SPARSE = {"carrier_greedy", "carrier_route", "neutron_greedy", "neutron_route", "neutron_bfs_hops", "ship_bfs_depths_joined"}
 
 
 def norm(v):
     return "null" if v is None or isinstance(v, float) and math.isnan(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
-@pytest.fixture(scope="module")
-def duck():
+def _duck(sf):
     con = duckdb.connect()
     for t in ("customer", "orders", "lineitem", "part", "events"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
 
+@pytest.fixture(scope="module")
+def duck():
+    return _duck(SF)
+
+
+@pytest.mark.parametrize("name", ["carrier_greedy", "neutron_bfs_hops"])
+def test_sparse_query_equals_sql(spark, name):
+    _compare(spark, "/root/testdata/sf0.01", _duck("/root/testdata/sf0.01"), name)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.ORACLE_SQL) - SPARSE))
 def test_query_equals_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    _compare(spark, SF, duck, name)
+
+
+def _compare(spark, sf, duck, name):
+    df = catalogue.QUERIES[name](spark, sf)
     order = sorted(range(len(df.columns)), key=lambda i: df.columns[i].lower())
     got = sorted(tuple(norm(r[i]) for i in order) for r in df.collect())
     cursor = duck.execute(catalogue.ORACLE_SQL[name])
@@ -81,7 +94,7 @@ def test_frames(spark):
 
     good = zlib.compress(b'{"$schemaRef":"https://a/journal/1","message":{"event":"SAASignalsFound","SystemAddress":5,"StarSystem":"S","BodyID":2,"Signals":[1]}}')
     rows = spark.createDataFrame([(bytearray(good),), (bytearray(b"no"),), (None,)], "frame binary").select(feeds.inflate("frame").alias("json"))
-    found = translate.bodies(translate.messages(rows))
+    found = translate.bodies(translate.messages(rows, schema="https://a/journal/"))
     assert [tuple(r) for r in found.select("systemId64", "bodyId", "signals", "isLandable").collect()] == [(5, 2, "[1]", 0)]
 
 
@@ -127,3 +140,18 @@ def test_heat(spark):
     assert heatmap.png(heatmap.bins(pts))[:4] == b"\x89PNG"
     timed = spark.createDataFrame([(0.0, 0.0, 0)] * 200 + [(0.0, 0.0, 2)] * 5, "x double, z double, tick int")
     assert live.heat_over_time(timed, F.col("tick"), 3).first().n == int(int(int(int(200 * 0.9928057) * 0.9928057) + 5) * 0.9928057)
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).columns[0] == "systemId64"
+
+
+def test_push_bounds(spark):
+    one = '{"id64": 1, "name": "a"}'
+    rows = spark.range(10_001).select(F.lit(one).alias("json"))
+    for bad in (rows, rows.limit(0)):
+        with pytest.raises(ValueError):
+            feeds.pushed(bad)
+    assert feeds.pushed(rows.limit(10_000)).count() == 10_000
