@@ -2,11 +2,13 @@
 
 The tokenizer of ``word_bpe_49k.json`` drops white space and never joins across it, so the ids of
 a text are those of its white-space-separated words, one after another.  ``WordCache`` asks the
-library only for words it hasn't met; texts that hold a special token's string go to it whole.
+library only for words it hasn't met; texts that hold a special token's string go to it whole, and so do
+all texts where the tokenizer's own description says that it works otherwise.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -36,6 +38,10 @@ class WordCache:
     def __init__(self, path: str):
         self.tok, self.plain = load(path), load(path)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
+        # only a tokenizer that lowers, drops white space and marks word ends can be asked word by word
+        spec = json.loads(self.tok.to_str())
+        splits = json.dumps(spec["pre_tokenizer"])
+        self.by_word = spec["model"].get("end_of_word_suffix") == "</w>" and '"Lowercase"' in json.dumps(spec["normalizer"]) and '"Removed"' in splits and r"[^\\s" in splits
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -83,6 +89,8 @@ class WordCache:
         """
         if not len(texts):
             return []
+        if not self.by_word:
+            return [np.frombuffer(x, "<u4") for x in self._direct(texts.to_pylist())]
         # fewer different words: A-Z lowered (all is, later), marks that end a word set apart, as they are anyway
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, r"\1 \2\3")
         split = pc.utf8_split_whitespace(plain)
