@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 60
@@ -55,24 +55,32 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def _with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, list[int]]:
+def _with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, Column]:
     """_part, _nth, doc_id, text, n_chars and the text that replaces its end."""
     bounds = _ranges(docs, parts)
     # the range's number falls as doc_id rises, so ranges and rows run in the same direction
     below = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b >= F.col("doc_id")))
     part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(below)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # a range is a task; a hash of its number would put several into one
-    rows = rows.withColumn("_part", part).repartitionById(len(bounds) + 2, F.col("_part").cast("int"))
+    # a range is a task: its name hashes to its own number, while hashes of the numbers would put several into one
+    names = _names(docs.sparkSession, len(bounds) + 2)
+    rows = rows.withColumn("_part", F.coalesce(F.get(names, part), F.lit(0))).repartition(len(bounds) + 2, "_part")
     order = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
     rows = rows.withColumns({"_nth": F.row_number().over(order), "_lead": F.lead("text").over(order)})
     heads = rows.where("_nth = 1").select("_part", F.col("text").alias("_head"))
-    return rows.join(_following(heads, "_head"), "_part").withColumn("next", F.coalesce("_lead", "_head")).drop("_lead", "_head"), bounds
+    return rows.join(_following(heads, "_head", names), "_part").withColumn("next", F.coalesce("_lead", "_head")).drop("_lead", "_head"), names
 
 
-def _following(heads: DataFrame, value: str) -> DataFrame:
+def _names(spark: SparkSession, count: int) -> Column:
+    """For each of ``count`` partitions an integer that Spark's partitioning sends there."""
+    named = spark.range(64 * count).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(count)).alias("nth")).agg(F.min("id").alias("id"))
+    found = {r.nth: r.id for r in named.collect()}  # a row a partition
+    return F.array(*[F.lit(found.get(k, 64 * count + k)) for k in range(count)])
+
+
+def _following(heads: DataFrame, value: str, names: Column) -> DataFrame:
     """For each range the ``value`` of the range after it, and of the first for the last: a row a range."""
-    nth = Window.orderBy("_part")
+    nth = Window.orderBy(F.array_position(names, F.col("_part")))
     ring = heads.withColumns({"_after": F.lead(value).over(nth), "_first": F.first(value).over(nth.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     return ring.select("_part", F.coalesce("_after", "_first").alias(value))
 
@@ -113,7 +121,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, parts: int | None = No
     """
     spark = docs.sparkSession
     parts = parts or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, _ = _with_next(docs, parts)
+    rows, names = _with_next(docs, parts)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))
     rows = rows.select("_part", "_nth", "doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"))
@@ -135,7 +143,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, parts: int | None = No
 
     order = Window.partitionBy("_part").orderBy("_nth")
     heads = marks.where("_nth = 1").select("_part", F.col("f0").alias("_head"))
-    marks = marks.withColumn("_lead", F.lead("f0").over(order)).join(_following(heads, "_head"), "_part")
+    marks = marks.withColumn("_lead", F.lead("f0").over(order)).join(_following(heads, "_head", names), "_part")
     facts = rows.select("_part", "_nth", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
 
     def text(f: str) -> Column:
