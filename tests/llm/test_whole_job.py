@@ -5,14 +5,16 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from orrery.llm import jaccard, lines, toxicity
 from orrery.llm.encoders import WordCache
 from orrery.llm.queries import vocabulary
 
 
-def test_lines_by_edit_similarity_alone(spark):
-    """Short lines, one changed word and many small edits, against brute force on edit similarity: nothing else goes, and recall."""
+@pytest.fixture(scope="module")
+def edited(spark):
+    """Short lines, one changed word and many small edits; what brute force on edit similarity drops, and what the operator does."""
     rng, rows = random.Random(4), []
     words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8))) for _ in range(400)]
     for i in range(60):
@@ -44,12 +46,22 @@ def test_lines_by_edit_similarity_alone(spark):
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).where("n_dropped = 1").collect()
     found = {r.doc_id for r in got}
     short = {d for d in want if max(len(known[x]) for x in groups[find(d)]) <= lines.SHORT}
-    assert len(short) > 10 and found <= want and short <= found
-    # one changed word is found at any length; letters changed all over (one in eight, so half of the words) mostly aren't in longer lines
     word = {d for d in want if d % 3 == 1 and find(d) == find(d - 1)}
-    letters = {d for d in want if d % 3 == 2} - short
-    print("recall", len(found & word) / len(word), len(found & letters) / len(letters))
-    assert len(word) > 20 and len(found & word) >= 0.95 * len(word) and len(found & letters) >= 0.15 * len(letters)
+    return want, found, short, word
+
+
+def test_lines_by_edit_similarity_alone(edited):
+    """Nothing else goes, no short line is missed, and one changed word is found at any length."""
+    want, found, short, word = edited
+    assert len(short) > 10 and found <= want and short <= found
+    assert len(word) > 20 and len(found & word) >= 0.95 * len(word)
+
+
+@pytest.mark.xfail(strict=True, reason="letters changed all over a longer line (one in eight, so half of its words) are mostly not found; see README")
+def test_lines_edited_all_over(edited):
+    want, found, _, _ = edited
+    print("recall", len(found) / len(want))
+    assert len(found) >= 0.95 * len(want)
 
 
 def test_special_strings_in_any_case():
