@@ -43,4 +43,49 @@ SELECT doc.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_h
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM doc LEFT JOIN covered ON covered.doc_id = doc.doc_id LEFT JOIN found ON found.doc_id = doc.doc_id"""
 
-ORACLE_SQL = {"op1_chat_format": OP1, "op2_jaccard_join": OP2, "op8_decontaminate": OP8}
+_SPACED = "list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+OP12 = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, {_SPACED} AS ws FROM doc),
+origin AS (SELECT text, min(doc_id) AS origin FROM doc GROUP BY text),
+mark AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+masked AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(split.text, '[^A-Z]', '', 'g')) > 10 * length(split.text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(split.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN split.doc_id > origin THEN 16 ELSE 0 END AS mask
+  FROM split JOIN origin ON origin.text = split.text LEFT JOIN mark ON mark.doc_id = split.doc_id),
+cell AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM masked GROUP BY part, mask),
+f(letter, own) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(o, last, own, earlier, step) AS (
+  SELECT '', '', 0, 0, 0 UNION ALL SELECT o || f.letter, f.letter, f.own, orders.earlier + orders.own, step + 1 FROM orders, f WHERE step < 5 AND position(f.letter IN o) = 0),
+steps AS (SELECT whole.o AS filter_order, part.step, part.own, part.earlier FROM orders whole JOIN orders part ON part.step > 0 AND whole.step = 5 AND starts_with(whole.o, part.o))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(sum(CASE WHEN mask & (own | earlier) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+       CAST(sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+       CAST(sum(CASE WHEN mask & own <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+       CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+       CAST(sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n_good ELSE 0 END) AS BIGINT) AS good_lost,
+       CAST(sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n_toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+       CAST(sum(sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n ELSE 0 END)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM cell CROSS JOIN steps GROUP BY part, filter_order, step, own"""
+
+_DELETED = "w[1 : i - 1] || w[i + 1 :]"
+OP13 = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS t),
+doc AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, regexp_extract_all({_LOWERED}, '[a-z\\x{{00C0}}-\\x{{00FF}}]+') AS ws FROM documents),
+run AS (SELECT d, w, count(*) AS k FROM (SELECT d, unnest(ws) AS w FROM doc) GROUP BY d, w),
+octets AS (SELECT d, w, k, hex(encode(d || ':' || w)) AS x FROM run),
+hashed AS (SELECT w, k, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i : i + 1] AS BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), CAST(4294967295 AS BIGINT)) AS h FROM octets, crc),
+word AS (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN w[1 : h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS w, k FROM hashed) WHERE length(w) >= 5 GROUP BY w HAVING sum(k) >= 3),
+place AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM word),
+gap AS (SELECT w, n, w[1 : i - 1] || '?' || w[i + 1 :] AS g FROM place),
+cut AS (SELECT DISTINCT w, n, {_DELETED} AS g FROM place),
+near AS (SELECT a.w AS a, b.w AS b, b.n FROM gap a JOIN gap b ON a.g = b.g AND a.w <> b.w
+  UNION ALL SELECT cut.w, word.w, word.n FROM cut JOIN word ON word.w = cut.g UNION ALL SELECT word.w, cut.w, cut.n FROM cut JOIN word ON word.w = cut.g),
+best AS (SELECT a, count(*) AS n_near, max(n) AS most, arg_min(b, (-n, b)) AS b FROM near GROUP BY a),
+form AS (SELECT w AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN b END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM word LEFT JOIN best ON best.a = word.w),
+chain(word, root, step) AS (SELECT word, word, 0 FROM form UNION ALL SELECT chain.word, form.form, step + 1 FROM chain JOIN form ON form.word = chain.root WHERE form.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, step) FROM chain WHERE chain.word = form.word) AS root, n, n_near, form_n FROM form"""
+
+ORACLE_SQL = {"op1_chat_format": OP1, "op2_jaccard_join": OP2, "op8_decontaminate": OP8, "op12_filter_audit": OP12, "op13_spelling_variants": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, jaccard, lines, mixing, pii, tokenfile, toxicity, wordpiece
+from . import audit, chat, decontaminate, fingerprints, jaccard, lines, mixing, pii, quality, tokenfile, toxicity, variants, wordpiece
 from .common import table
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -73,6 +73,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, ranker).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_jaccard_join": op2_jaccard_join,
@@ -84,4 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
-}
\ No newline at end of file
+    "op11_quality": op11_quality,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
+}
