@@ -67,6 +67,15 @@ def _halves(length: Column) -> Column:
     return F.array(F.struct(F.lit(0).alias("half"), F.substring(F.col("word"), F.lit(1), half).alias("part")), F.struct(F.lit(1).alias("half"), F.substring(F.col("word"), F.col("len") - (length - half) + 1, length - half).alias("part")))
 
 
+def one_edit(a: Column, b: Column, most: int = 100) -> Column:
+    """Whether b is a with one letter added or exchanged.  The built-in distance takes time by the square of the
+    length, so words of over ``most`` letters are compared letter by letter up to the first difference and after it."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    at = F.array_position(same, F.lit(False)).cast("int")
+    after = F.substring(a, at + 1 - (F.length(b) - F.length(a)), F.length(a)) == F.substring(b, at + 1, F.length(b))
+    return F.when(F.length(b) <= most, F.levenshtein(a, b, 1) == 1).otherwise((at > 0) & after)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b, na, nb: words one edit apart, every pair in both directions once."""
     known = settled(keyed(words), "words")
@@ -79,7 +88,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     on, a, b = ["key", "size", "half", "part"], F.col("a"), F.col("b")
     first = lambda w: F.substring(w, F.lit(1), F.shiftright(F.col("size"), 1))
     once = (F.col("half") == 0) | (first(a) != first(b))  # a pair that shares both halves meets in the first
-    apart = once & (F.levenshtein(a, b, 1) == 1)
+    apart = once & one_edit(a, b)
     exchanged = side(reduced, F.col("len"), "a").join(side(reduced, F.col("len"), "b"), on).where((a != b) & apart)
     shorter = side(known, F.col("len"), "a").join(side(reduced, F.col("len") - 1, "b"), on).where(apart)
     pairs = shorter.select("a", "b", "na", "nb")
