@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
@@ -125,7 +125,7 @@ def _conditions(q: StationQuery, columns: list[str]) -> Column:
     if not q.include_surface:
         cond = cond & F.col("latitude").isNull()
     if v := _given(q.allegiance):
-        cond = cond & same("stationAllegiance", v)
+        cond = cond & same("allegiance", v)
     if v := _given(q.economy):
         cond = cond & (same("economy", v) | (same("systemEconomy", v) if "systemEconomy" in columns else F.lit(False)))
     if v := _given(q.station_type):
@@ -138,35 +138,59 @@ def _conditions(q: StationQuery, columns: list[str]) -> Column:
             need = need | (S.large_or_medium_pads(F.col("landingPads"), "medium") > 0)
         cond = cond & need
     if _given(q.government):
-        cond = cond & F.lower("government").contains("rison")
+        prison = [F.lower(c).contains("rison") for c in ("government", "systemGovernment") if c in columns]
+        cond = cond & (prison[0] if len(prison) == 1 else prison[0] | prison[1])
     return cond
 
 
 def nearest_stations(systems: DataFrame, stations: DataFrame, q: StationQuery, prisons: DataFrame | None = None) -> DataFrame:
     """Stations in the smallest box of the ladder that holds any (or in the given one), nearest first.
 
-    The ladder takes one pass: each candidate's own step is known from its box distance, and the
-    least step decides, so no radius is tried twice.  Prisons have no radius.
+    The ladder takes one pass: each candidate's own step is known from its box distance, so the nearest of the
+    least step are the first in the order of step and distance, and no radius is tried twice.  Prisons, which are those
+    of a station's or its system's government, have no radius.
     """
+    return _searched(systems, stations, q, prisons).drop("radius")
+
+
+def _searched(systems: DataFrame, stations: DataFrame, q: StationQuery, prisons: DataFrame | None) -> DataFrame:
+    """The stations that are found, with the radius at which each search step would meet them."""
     at = coordinates(systems, q.reference)
     if at is None:
         raise LookupError(f"unknown system: {q.reference}")
-    place = systems.select(F.col("id64").alias("systemId64"), F.col("name").alias("systemName"), "x", "y", "z", *([F.col("primaryEconomy").alias("systemEconomy")] if "primaryEconomy" in systems.columns else []))
+    own = {"primaryEconomy": "systemEconomy", "government": "systemGovernment"}
+    place = systems.select(F.col("id64").alias("systemId64"), F.col("name").alias("systemName"), "x", "y", "z", *[F.col(c).alias(k) for c, k in own.items() if c in systems.columns])
     prison = _given(q.government) is not None
     if prison and prisons is not None:
         place = place.join(prisons, "systemId64", "left_semi")
     reach = F.greatest(*[F.abs(F.col(c) - F.lit(m)) for c, m in zip("xyz", at, strict=True)])
     if not prison:
-        most = min(max(q.radius, 1.0), STATION_STEPS[-1]) if q.radius else STATION_STEPS[-1]
+        most = min(max(q.radius, 1.0), STATION_STEPS[-1]) if q.radius is not None else STATION_STEPS[-1]
         place = place.where(S.in_box(F.col("x"), F.col("y"), F.col("z"), at, most))
     rows = stations.join(place, "systemId64")
     rows = rows.where(_conditions(q, rows.columns)).withColumn("systemDistanceLy", S.round_to(S.distance(F.col("x"), F.col("y"), F.col("z"), *map(F.lit, at)), 2))
-    if not prison and not q.radius:
-        step = F.coalesce(*[F.when(reach <= r, F.lit(r)) for r in STATION_STEPS])
-        rows = rows.withColumn("_step", step)
-        least = rows.agg(F.min("_step")).first()[0]
-        rows = rows.where(F.col("_step") <= F.lit(least if least is not None else 0.0)).drop("_step")
-    return rows.orderBy("systemDistanceLy", "systemId64", "id").limit(min(max(q.limit, 1), 100))
+    ladder = not prison and q.radius is None
+    rows = rows.withColumn("radius", F.coalesce(*[F.when(reach <= r, F.lit(r)) for r in STATION_STEPS]) if ladder else F.lit(0.0 if prison else most))
+    found = rows.orderBy("radius", "systemDistanceLy", "systemId64", "id").limit(min(max(q.limit, 1), 100))
+    if ladder:  # of at most 100 rows
+        found = found.withColumn("_least", F.min("radius").over(Window.partitionBy(F.lit(0)))).where("radius = _least").drop("_least")
+    return found.orderBy("systemDistanceLy", "systemId64", "id")
+
+
+def station_report(systems: DataFrame, stations: DataFrame, q: StationQuery, prisons: DataFrame | None = None) -> DataFrame:
+    """One row about a search: the system it starts from, its place, the radius that was searched, and the stations (at most 100).
+
+    Without a find the radius is the last of the ladder; a search for prisons, which has none, reports how far the last of its
+    stations is.
+    """
+    rows = _searched(systems, stations, q, prisons)
+    farthest = STATION_STEPS[-1] if q.radius is None else min(max(q.radius, 1.0), STATION_STEPS[-1])
+    prison = _given(q.government) is not None
+    radius = F.coalesce(F.max("systemDistanceLy" if prison else "radius"), F.lit(0.0 if prison else farthest))
+    one = F.sort_array(F.collect_list(F.struct("systemDistanceLy", "systemId64", "id", "systemName", "type")))
+    found = rows.agg(radius.alias("searchedRadiusLy"), F.count(F.lit(1)).alias("count"), one.alias("results"))
+    here = find_system(systems, q.reference).select(F.col("name").alias("refSystem"), F.struct("x", "y", "z").alias("refCoords"))
+    return here.join(F.broadcast(found), F.lit(True))  # one row each
 
 
 def grid_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:

@@ -10,7 +10,7 @@ from orrery.functions import scalars as S
 # Event kinds, and fields that are copied under another name.
 JOURNAL, JUMPS = "https://eddn.edcd.io/schemas/journal/", ("FSDJump", "Location", "CarrierJump")
 SCAN_FIELDS = {
-    "distanceToArrival": ("DistanceFromArrivalLS", "double"), "surfaceTemperature": ("SurfaceTemperature", "double"), "orbitalEccentricity": ("Eccentricity", "double"),
+    "distanceToArrival": ("DistanceFromArrivalLS", "double"), "surfaceTemperature": ("SurfaceTemperature", "whole"), "orbitalEccentricity": ("Eccentricity", "double"),
     "orbitalInclination": ("OrbitalInclination", "double"), "argOfPeriapsis": ("Periapsis", "double"), "isTidallyLocked": ("TidalLock", "flag"), "axisTilt": ("AxialTilt", "double"),
     "ascendingNode": ("AscendingNode", "double"), "meanAnomaly": ("MeanAnomaly", "double"), "wasDiscovered": ("WasDiscovered", "int"), "wasMapped": ("WasMapped", "int"),
     "volcanismType": ("Volcanism", "string"), "terraformingState": ("TerraformState", "string"), "atmosphereComposition": ("AtmosphereComposition", "json"),
@@ -41,6 +41,11 @@ def number(v: Column, path: str) -> Column:
     return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, path, "double"))
 
 
+def whole(v: Column, path: str) -> Column:
+    """Any number, rounded half away from zero where it isn't an integer."""
+    return F.coalesce(integer(v, path), F.round(number(v, path)).cast("bigint"))
+
+
 def _boolean(v: Column, path: str) -> Column:
     return F.when(shape(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("int"))
 
@@ -59,7 +64,7 @@ def json(v: Column, path: str) -> Column:
     return F.when(shape(v, path) != "VOID", F.to_json(F.try_variant_get(v, path, "variant")))
 
 
-_READ = {"double": number, "bigint": integer, "string": text, "flag": flag, "int": flag_or_int, "json": json}
+_READ = {"double": number, "bigint": integer, "string": text, "flag": flag, "whole": whole, "int": flag_or_int, "json": json}
 
 
 def _once(df: DataFrame, **values: Column) -> DataFrame:
@@ -77,17 +82,33 @@ def messages(frames: DataFrame, payload: str = "json", schema: str = JOURNAL) ->
     return rows.where("event is not null and id64 is not null and system <> ''")
 
 
+def of_body(m: Column) -> Column:
+    """Whether a message tells of a body: a scan with its number and name, or found signals with its number."""
+    scan = (F.col("event") == "Scan") & text(m, "$.BodyName").isNotNull()
+    return (scan | ((F.col("event") == "SAASignalsFound") & json(m, "$.Signals").isNotNull())) & integer(m, "$.BodyID").isNotNull()
+
+
+def of_station(m: Column) -> Column:
+    """Whether a message tells of a station: a docking with its market and name."""
+    return (F.col("event") == "Docked") & integer(m, "$.MarketID").isNotNull() & text(m, "$.StationName").isNotNull()
+
+
+def handled(m: Column) -> Column:
+    """Whether a message gives anything: a jump, or one that tells of a body or a station."""
+    return F.col("event").isin(*JUMPS) | F.coalesce(of_body(m), F.lit(False)) | F.coalesce(of_station(m), F.lit(False))
+
+
 def _localised(name: str) -> Column:
     return S.localised(text(F.col("message"), f"$.{name}_Localised"), text(F.col("message"), f"$.{name}"))
 
 
 def systems(rows: DataFrame) -> DataFrame:
-    """Patches of systems: every event names one, only jumps say more."""
+    """Patches of systems: every message that is handled names one and its place, only jumps say more."""
     m, jump = F.col("message"), F.col("event").isin(*JUMPS)
     place = [number(m, f"$.StarPos[{i}]") for i in range(3)]
     whole = place[0].isNotNull() & place[1].isNotNull() & place[2].isNotNull() & shape(m, "$.StarPos[3]").isNull()
+    place = {c: F.when(whole, p) for c, p in zip("xyz", place, strict=True)}
     said = {
-        **{c: F.when(whole, p) for c, p in zip("xyz", place, strict=True)},
         "population": integer(m, "$.Population"), "allegiance": F.nullif(text(m, "$.SystemAllegiance"), F.lit("")), "government": _localised("SystemGovernment"),
         "primaryEconomy": _localised("SystemEconomy"), "secondaryEconomy": _localised("SystemSecondEconomy"), "security": _localised("SystemSecurity"),
         "controllingFaction": json(m, "$.SystemFaction"), "factions": json(m, "$.Factions"), "powers": json(m, "$.Powers"), "powerState": text(m, "$.PowerplayState"),
@@ -95,8 +116,7 @@ def systems(rows: DataFrame) -> DataFrame:
         "powerStateReinforcement": number(m, "$.PowerplayStateReinforcement"), "powerStateUndermining": number(m, "$.PowerplayStateUndermining"),
         "powerConflictProgress": json(m, "$.PowerplayConflictProgress"), "thargoidWar": json(m, "$.ThargoidWar"), "date": text(m, "$.timestamp"),
     }
-    known = rows.where(F.col("event").isin(*JUMPS, "Scan", "Docked", "SAASignalsFound"))
-    return known.select("id64", F.col("system").alias("name"), *[F.when(jump, c).alias(k) for k, c in said.items()], *[c for c in ("seq",) if c in rows.columns])
+    return rows.where(handled(m)).select("id64", F.col("system").alias("name"), *[c.alias(k) for k, c in place.items()], *[F.when(jump, c).alias(k) for k, c in said.items()], *[c for c in ("seq",) if c in rows.columns])
 
 
 def bodies(rows: DataFrame) -> DataFrame:
@@ -114,8 +134,7 @@ def bodies(rows: DataFrame) -> DataFrame:
         "spectralClass": F.when(is_star, star), "mainStar": F.when(is_star & (integer(m, "$.BodyID") == 0), F.lit(1)),
         "solarRadius": F.when(is_star, number(m, "$.Radius") / S.SOLAR_RADIUS), "gravity": number(m, "$.SurfaceGravity") / S.GRAVITY, "radius": number(m, "$.Radius") / S.METRES_A_KM,
     }
-    ours = (scan & text(m, "$.BodyName").isNotNull()) | ((F.col("event") == "SAASignalsFound") & json(m, "$.Signals").isNotNull())
-    found = rows.where(ours & integer(m, "$.BodyID").isNotNull())
+    found = rows.where(of_body(m))
     values = [(F.when(scan, c).otherwise(0) if k in flags else F.when(scan, c)).alias(k) for k, c in said.items()]
     return found.select(F.col("id64").alias("systemId64"), integer(m, "$.BodyID").alias("bodyId"), text(m, "$.BodyName").alias("name"), *values, F.when(~scan, json(m, "$.Signals")).alias("signals"), text(m, "$.timestamp").alias("updateTime"), *[c for c in ("seq",) if c in rows.columns])
 
@@ -123,7 +142,7 @@ def bodies(rows: DataFrame) -> DataFrame:
 def stations(rows: DataFrame) -> DataFrame:
     """Patches of stations from dockings."""
     m = F.col("message")
-    found = rows.where((F.col("event") == "Docked") & integer(m, "$.MarketID").isNotNull() & text(m, "$.StationName").isNotNull())
+    found = rows.where(of_station(m))
     services = F.try_variant_get(m, "$.StationServices", "array<string>")
     from .merge import split_services
 

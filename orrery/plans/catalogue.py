@@ -76,7 +76,7 @@ _filtered("cube_white_dwarfs", "white dwarf", "subType ILIKE 'White Dwarf%'")
 
 
 # ------------------------------------------------------------------ look-ups
-@query("SELECT id64, name, x, y, z, population, allegiance FROM systems WHERE name = 'Customer#000000007'")
+@query("SELECT id64, name, x, y, z, population, allegiance, government FROM systems WHERE name = 'Customer#000000007'")
 def system_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_system(fixtures.systems(spark, sf_dir), "CUSTOMER#000000007")
 
@@ -86,7 +86,7 @@ def system_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.render_bodies(search.system_rows(bodies(spark, sf_dir), 7)).select("bodyId", "name", "subType", "isLandable", "terraformingState", "distanceToArrival")
 
 
-@query("SELECT id, systemId64, type, government, economy, latitude, landingPads, distanceToArrival FROM stations WHERE systemId64 = 7")
+@query("SELECT id, systemId64, type, allegiance, government, economy, latitude, landingPads, distanceToArrival FROM stations WHERE systemId64 = 7")
 def system_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.system_rows(fixtures.stations(spark, sf_dir), 7)
 
@@ -102,29 +102,45 @@ def line_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ stations
-def _nearest(cond: str, radius: str = "") -> str:
+def _nearest(cond: str, radius: str = "", plain: str = "type <> 'Drake-Class Carrier' AND latitude IS NULL") -> str:
     step = "CASE " + " ".join(f"WHEN greatest(abs(x-rx), abs(y-ry), abs(z-rz)) <= {r} THEN {r}" for r in (100, 500, 1500, 4000, 8000, 15000, 30000, 70000)) + " END"
     last = f"WHERE {radius}" if radius else "WHERE step <= (SELECT min(step) FROM c)"
     return f""", r AS (SELECT x AS rx, y AS ry, z AS rz FROM systems WHERE id64 = 7),
-c AS (SELECT t.*, s.name AS systemName, {_D2.format("rx", "ry", "rz")} AS systemDistanceLy, {step} AS step FROM stations t JOIN systems s ON s.id64 = t.systemId64 CROSS JOIN r WHERE type <> 'Drake-Class Carrier' AND latitude IS NULL AND {cond})
+c AS (SELECT t.*, s.name AS systemName, {_D2.format("rx", "ry", "rz")} AS systemDistanceLy, {step} AS step FROM stations t JOIN systems s ON s.id64 = t.systemId64 CROSS JOIN r WHERE {plain} AND {cond})
 SELECT id, systemId64, systemName, type, systemDistanceLy FROM c {last} ORDER BY systemDistanceLy, systemId64, id LIMIT 25"""
 
 
-def _near(name: str, cond: str, radius: str = "", **options) -> None:
+def _near(name: str, cond: str, within: str = "", plain: str = "type <> 'Drake-Class Carrier' AND latitude IS NULL", **options) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stations = fixtures.stations(spark, sf_dir)
-        found = search.nearest_stations(fixtures.systems(spark, sf_dir), stations, search.StationQuery("7", **options), merge.prison_systems(stations) if options.get("government") else None)
+        stations, systems = fixtures.stations(spark, sf_dir), fixtures.systems(spark, sf_dir)
+        found = search.nearest_stations(systems, stations, search.StationQuery("7", **options), merge.prison_systems(stations, systems) if options.get("government") else None)
         return found.select("id", "systemId64", "systemName", "type", "systemDistanceLy")
 
     run.__name__ = name
-    query((_WITH.rstrip() + _nearest(cond, radius)), head="")(run)
+    query((_WITH.rstrip() + _nearest(cond, within, plain)), head="")(run)
 
 
 _PADS = "coalesce(TRY_CAST(json_extract_string(landingPads, '$.large') AS DOUBLE), TRY_CAST(json_extract_string(landingPads, '$.Large') AS DOUBLE), 0) > 0"
 _near("nearest_station_default", "true")
 _near("nearest_station_economy", "lower(economy) = 'high tech'", economy="high tech")
 _near("nearest_station_large_pad", _PADS, pad="large")
-_near("nearest_station_prison", "lower(government) LIKE '%rison%'", radius="true", government="Democracy")
+_PRISON = "(lower(t.government) LIKE '%rison%' OR lower(s.government) LIKE '%rison%')"
+_near("nearest_station_prison", _PRISON, within="true", government="Democracy")
+_near("nearest_station_allegiance", "lower(t.allegiance) = 'empire'", allegiance="Empire")
+_near("nearest_station_type", "lower(type) = '1-urgent'", station_type="1-urgent")
+_near("nearest_station_max_distance", "(t.distanceToArrival IS NULL OR t.distanceToArrival <= 50000)", max_distance=50000.0)
+_near("nearest_station_carriers", "lower(type) = 'drake-class carrier'", plain="latitude IS NULL", include_carriers=True, station_type="DRAKE-CLASS CARRIER")
+_near("nearest_station_surface", "lower(t.economy) = 'refinery'", plain="type <> 'Drake-Class Carrier'", include_surface=True, economy="refinery")
+_near("nearest_station_medium_pad", f"({_PADS} OR coalesce(TRY_CAST(json_extract_string(landingPads, '$.medium') AS DOUBLE), TRY_CAST(json_extract_string(landingPads, '$.Medium') AS DOUBLE), 0) > 0)", pad="medium")
+_near("nearest_station_radius", "greatest(abs(x-rx), abs(y-ry), abs(z-rz)) <= 25", within="true", radius=25.0)
+
+
+@query((_WITH.rstrip() + _nearest("lower(t.allegiance) = 'federation'")).replace("SELECT id, systemId64", ", top AS (SELECT id, step, systemId64", 1) + """)
+SELECT (SELECT name FROM systems WHERE id64 = 7) AS "refSystem", coalesce(max(step), 70000) + CAST(0 AS DOUBLE) AS "searchedRadiusLy", count(*) AS "count", string_agg(id, ',' ORDER BY systemDistanceLy, systemId64, id) AS ids FROM top""", head="")
+def nearest_station_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search reports beside its stations."""
+    found = search.station_report(fixtures.systems(spark, sf_dir), fixtures.stations(spark, sf_dir), search.StationQuery("7", allegiance="FEDERATION"))
+    return found.select("refSystem", "searchedRadiusLy", "count", F.array_join(F.col("results.id").cast("array<string>"), ",").alias("ids"))
 
 
 # ------------------------------------------------------------------ merges
@@ -165,9 +181,9 @@ def neutron_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.neutron_systems(fixtures.body_patches(spark, sf_dir))
 
 
-@query("SELECT DISTINCT systemId64 FROM stations WHERE lower(government) LIKE '%rison%'")
+@query("SELECT systemId64 FROM stations WHERE lower(government) LIKE '%rison%' UNION SELECT id64 FROM systems WHERE lower(government) LIKE '%rison%'")
 def prison_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.prison_systems(fixtures.stations(spark, sf_dir))
+    return merge.prison_systems(fixtures.stations(spark, sf_dir), fixtures.systems(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ distance joins and routes
@@ -426,11 +442,24 @@ def event_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate.messages(fixtures._view(spark, sf_dir, _MESSAGE), schema=_SCHEMA).groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id64").alias("systems"))
 
 
-@query("SELECT o_custkey AS id64, concat('S', o_custkey) AS name, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey % 100 AS DOUBLE) END AS x, CASE WHEN o_orderkey % 4 = 0 THEN CAST(0.5 AS DOUBLE) END AS y, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 50 AS DOUBLE) END AS z FROM orders WHERE o_orderkey % 4 < 3", head="")
+@query("SELECT o_custkey AS id64, concat('S', o_custkey) AS name, CAST(o_custkey % 100 AS DOUBLE) AS x, CAST(0.5 AS DOUBLE) AS y, CAST(o_orderkey % 50 AS DOUBLE) AS z FROM orders WHERE o_orderkey % 4 < 3", head="")
 def jump_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate.systems(translate.messages(fixtures._view(spark, sf_dir, _MESSAGE), schema=_SCHEMA)).select("id64", "name", "x", "y", "z")
 
 
+_LIVE = """SELECT o_orderkey AS seq, concat('{"$schemaRef":"https://x/journal/1","message":{"event":"', CASE o_orderkey % 5 WHEN 0 THEN 'Location' WHEN 1 THEN 'Scan' WHEN 2 THEN 'Docked' WHEN 3 THEN 'SAASignalsFound' ELSE 'Music' END,
+ '","SystemAddress":', CASE WHEN o_orderkey % 17 = 0 THEN '"7"' ELSE CAST(o_custkey AS VARCHAR(20)) END, ',"StarSystem":"', CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE 'S' END, '","StarPos":[', o_custkey % 100, ',0.5,', CASE WHEN o_orderkey % 7 = 0 THEN '"far"' WHEN o_orderkey % 11 = 0 THEN '1,2' ELSE '3' END,
+ '],"Population":9', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat(',"BodyID":', o_orderkey, ',"MarketID":', o_orderkey) END, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ',"BodyName":"B","StationName":"T"' END, ',"Signals":[1]}}') AS json FROM orders"""
+_EVENT = "(o_orderkey % 5 = 0 OR o_orderkey % 3 <> 0 AND (o_orderkey % 5 IN (1, 2) AND o_orderkey % 2 <> 0 OR o_orderkey % 5 = 3)) AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0"
+
+
+@query(f"SELECT o_orderkey AS seq, o_custkey AS id64, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN CAST(o_custkey % 100 AS DOUBLE) END AS x, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN CAST(3 AS DOUBLE) END AS z, CASE WHEN o_orderkey % 5 = 0 THEN CAST(9 AS BIGINT) END AS population FROM orders WHERE {_EVENT}", head="")
+def live_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of message places its system by three numbers; one without a valid body or station gives nothing."""
+    found = translate.systems(translate.messages(fixtures._view(spark, sf_dir, _LIVE), schema=_SCHEMA))
+    return found.select("seq", "id64", "x", "z", "population")
+
+
 @query("SELECT count(*) AS received, CAST(count(*) FILTER (WHERE o_orderkey % 4 < 3 AND o_orderkey % 10 <> 0) AS BIGINT) AS processed, CAST(count(*) FILTER (WHERE o_orderkey % 10 = 0) AS BIGINT) AS dropped, CAST(count(*) FILTER (WHERE o_orderkey % 4 = 3 AND o_orderkey % 10 <> 0) AS BIGINT) AS ignored FROM orders", head="")
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = fixtures._view(spark, sf_dir, _MESSAGE).withColumn("json", F.when(F.col("seq") % 10 == 0, F.lit("{broken")).otherwise(F.col("json")))
@@ -458,7 +487,7 @@ def dump_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey AS "systemId64", CAST(c_custkey % 9 AS BIGINT) AS "bodyId", 'Neutron Star' AS "subType", CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS "isLandable", CAST(c_custkey % 1000 + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS "surfaceTemperature",
- CASE WHEN c_custkey % 4 <> 0 THEN CAST(1.5 AS DOUBLE) END AS "stellarMass", CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 END AS "wasMapped", CASE WHEN c_custkey % 2 = 0 THEN CAST(12 AS BIGINT) END AS age, CAST(0.125 AS DOUBLE) AS "axisTilt", CASE WHEN c_custkey % 6 <> 0 THEN '[{"n":1}]' END AS signals
+ CASE WHEN c_custkey % 4 <> 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(2.5 AS DOUBLE) END AS "stellarMass", CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 END AS "wasMapped", CASE WHEN c_custkey % 2 = 0 THEN CAST(12 AS BIGINT) END AS age, CAST(0.125 AS DOUBLE) AS "axisTilt", CASE WHEN c_custkey % 6 <> 0 THEN '[{"n":1}]' END AS signals
  FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 5 <> 0""", head="")
 def dump_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of documents with the derived columns, merged; one without a number is dropped."""
@@ -511,9 +540,9 @@ def signals_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCANS = """SELECT o_orderkey AS seq, concat('{"$schemaRef":"https://x/journal/1","message":{"event":"Scan","SystemAddress":', o_custkey, ',"StarSystem":"S","BodyID":', o_orderkey % 9, ',"BodyName":"B","PlanetClass":"Icy body"', """ + ", ".join(
-    f"""',"{source}":', {dict(double="o_orderkey", flag="CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '1' END", int="CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '3' END", string="concat('\"', o_orderpriority, '\"')", json="concat('[', o_orderkey, ']')", bigint="o_orderkey")[how]}""" for source, how in translate.SCAN_FIELDS.values()
+    f"""',"{source}":', {dict(double="o_orderkey", whole="o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '.5' ELSE '' END", flag="CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '1' END", int="CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '3' END", string="concat('\"', o_orderpriority, '\"')", json="concat('[', o_orderkey, ']')", bigint="o_orderkey")[how]}""" for source, how in translate.SCAN_FIELDS.values()
 ) + ", '}}') AS json FROM orders"
-_SCANNED = {"double": "CAST(o_orderkey AS DOUBLE)", "flag": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END", "int": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 3 END", "string": "o_orderpriority", "json": "concat('[', o_orderkey, ']')", "bigint": "o_orderkey"}
+_SCANNED = {"double": "CAST(o_orderkey AS DOUBLE)", "whole": "CAST(o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT)", "flag": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END", "int": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 3 END", "string": "o_orderpriority", "json": "concat('[', o_orderkey, ']')", "bigint": "o_orderkey"}
 
 
 @query("SELECT o_custkey AS \"systemId64\", CAST(o_orderkey % 9 AS BIGINT) AS \"bodyId\", " + ", ".join(f'{_SCANNED[how]} AS "{k}"' for k, (_, how) in translate.SCAN_FIELDS.items()) + " FROM orders", head="")

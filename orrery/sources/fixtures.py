@@ -9,16 +9,18 @@ SELECT c_custkey AS id64, c_name AS name,
        ((c_custkey *    7919) % 2003) / CAST(8  AS DOUBLE) - 125.0 AS x,
        ((c_custkey *  104729) % 1009) / CAST(16 AS DOUBLE) -  31.5 AS y,
        ((c_custkey * 1299709) % 1999) / CAST(8  AS DOUBLE) - 125.0 AS z,
-       CAST(floor(c_acctbal) AS BIGINT) AS population, c_mktsegment AS allegiance
+       CAST(floor(c_acctbal) AS BIGINT) AS population, c_mktsegment AS allegiance,
+       CASE WHEN c_custkey % 50 = 0 THEN 'Prison colony' WHEN c_custkey % 3 > 0 THEN 'Democracy' END AS government
 FROM customer"""
 STATIONS = """
-SELECT o_orderkey AS id, o_custkey AS systemId64, o_orderpriority AS type,
+SELECT o_orderkey AS id, o_custkey AS systemId64, CASE WHEN o_orderkey % 13 = 0 THEN 'Drake-Class Carrier' ELSE o_orderpriority END AS type,
+       CASE o_orderkey % 4 WHEN 0 THEN 'EMPIRE' WHEN 1 THEN 'Federation' END AS allegiance,
        CASE WHEN o_orderkey % 7 = 0 THEN 'Prison' ELSE 'Democracy' END AS government,
        CASE o_orderkey % 5 WHEN 0 THEN 'Refinery' WHEN 1 THEN 'HIGH TECH' ELSE 'Tourism' END AS economy,
        CASE WHEN o_orderkey % 11 = 0 THEN CAST(12.5 AS DOUBLE) END AS latitude,
        CASE o_orderkey % 3
          WHEN 0 THEN concat('{"large":', CAST(o_orderkey % 4 AS VARCHAR(9)), '}')
-         WHEN 1 THEN concat('{"Large":', CAST(o_orderkey % 4 AS VARCHAR(9)), '}') END AS landingPads,
+         WHEN 1 THEN concat('{"Large":', CAST(o_orderkey % 4 AS VARCHAR(9)), ',"medium":2}') END AS landingPads,
        o_totalprice AS distanceToArrival
 FROM orders"""
 BODY_PATCHES = """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.merge import split_services
-from orrery.operators.translate import flag, flag_or_int, integer, json, number, shape, text
+from orrery.operators.translate import flag, flag_or_int, integer, json, number, shape, text, whole
 
 JSON_COLUMNS = ("controllingFaction", "factions", "powers", "powerConflictProgress", "thargoidWar")
 BODY_TEXT = ("name", "type", "subType", "volcanismType", "atmosphereType", "terraformingState", "luminosity", "spectralClass", "reserveLevel", "updateTime")
@@ -36,8 +36,8 @@ def bodies(documents: DataFrame) -> DataFrame:
     out = {c: text(b, f"$.{c}") for c in BODY_TEXT} | {c: number(b, f"$.{c}") for c in BODY_NUMBERS} | {c: json(b, f"$.{c}") for c in BODY_JSON}
     out |= {
         "isLandable": flag(b, "$.isLandable"), "isTidallyLocked": flag(b, "$.rotationalPeriodTidallyLocked"), "axisTilt": number(b, "$.axialTilt"), "age": integer(b, "$.age"), "subclass": integer(b, "$.subclass"),
-        "surfaceTemperature": F.coalesce(integer(b, "$.surfaceTemperature"), F.round(number(b, "$.surfaceTemperature")).cast("bigint")),
-        "stellarMass": F.when(_present(b, "$.solarMasses"), number(b, "$.solarMasses")).otherwise(number(b, "$.stellarMass")),
+        "surfaceTemperature": whole(b, "$.surfaceTemperature"),
+        "stellarMass": F.coalesce(number(b, "$.solarMasses"), number(b, "$.stellarMass")),
         "composition": F.when(_present(b, "$.solidComposition"), json(b, "$.solidComposition")).otherwise(json(b, "$.composition")),
         "wasDiscovered": flag_or_int(b, "$.wasDiscovered"), "wasMapped": flag_or_int(b, "$.wasMapped"), "bodyId64": integer(b, "$.id64"), "mainStar": flag_or_int(b, "$.mainStar"),
     }
