@@ -470,7 +470,7 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ ingest
 _DUMP = """SELECT c_custkey AS seq, concat('{"id64":', CASE WHEN c_custkey % 17 = 0 THEN 'null' ELSE CAST(c_custkey AS VARCHAR(20)) END, ',"name":"', c_name, '","population":', c_custkey % 5, ',"coords":{"x":', c_custkey % 100, '.5,"y":0.25,"z":-', c_custkey % 7,
- '},"controllingFaction":{"name":"F', c_nationkey, '"},"bodies":[{"bodyId":', CASE WHEN c_custkey % 5 = 0 THEN '"7"' ELSE CAST(c_custkey % 9 AS VARCHAR(20)) END, ',"subType":"Neutron Star","isLandable":', CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '1' END,
+ '},"government":"', CASE WHEN c_custkey % 16 = 1 THEN 'Prison Colony' ELSE 'Feudal' END, '","controllingFaction":{"name":"F', c_nationkey, '"},"bodies":[{"bodyId":', CASE WHEN c_custkey % 5 = 0 THEN '"7"' ELSE CAST(c_custkey % 9 AS VARCHAR(20)) END, ',"subType":"Neutron Star","isLandable":', CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '1' END,
  ',"surfaceTemperature":', c_custkey % 1000, CASE WHEN c_custkey % 2 = 0 THEN '.75' ELSE '' END, ',"solarMasses":', CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE '1.5' END, ',"stellarMass":2.5,"wasMapped":', CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN '4' ELSE '"x"' END,
  ',"age":', CASE WHEN c_custkey % 2 = 0 THEN '12' ELSE '12.5' END, ',"axialTilt":0.125,"signals":', CASE WHEN c_custkey % 6 = 0 THEN 'null' ELSE '[{"n":1}]' END, '}],"stations":[{"id":', c_custkey, ',"name":"T","government":"', CASE WHEN c_custkey % 8 = 0 THEN 'PRISON' ELSE 'Other' END,
  '","primaryEconomy":"Refinery","services":["Shipyard","Dock","Missions",3,"Autodock"],"landingPads":{"Large":', c_custkey % 3, '}}]}') AS json FROM customer"""
@@ -500,12 +500,30 @@ def dump_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patches.stations(_documents(spark, sf_dir)).select("systemId64", "id", "government", "economy", "haveMarket", "haveShipyard", "otherServices", "landingPads")
 
 
-@query("SELECT c_custkey AS \"systemId64\" FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 8 = 0", head="")
+@query("SELECT c_custkey AS \"systemId64\" FROM customer WHERE c_custkey % 17 <> 0 AND (c_custkey % 8 = 0 OR c_custkey % 16 = 1)", head="")
 def dump_prisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return merge.prison_systems(patches.stations(docs), patches.systems(docs))
 
 
+def _dump_file(spark: SparkSession, sf_dir: str) -> str:
+    """A dump as gzip files of all layouts: several documents a line, documents over lines, with a comma between, and broken ones."""
+    key, json = F.col("seq"), F.col("json")
+    again = F.replace(json, F.concat(F.lit('"id64":'), key.cast("string")), F.concat(F.lit('"id64":'), (key + 1_000_000).cast("string")))
+    lines = F.when(key % 7 == 0, F.expr("left(json, length(json) div 2)")).when(key % 7 == 1, F.concat(json, again)).when(key % 7 == 2, F.replace(json, F.lit(","), F.lit(",\n  "))).when(key % 7 == 3, F.concat(F.lit("["), json, F.lit(",")))
+    lines = lines.when(key % 7 == 4, F.replace(json, F.lit('"name":"'), F.lit('"note":"}{[ \\\\ ","name":"'))).when(key % 7 == 5, F.replace(json, F.lit('"stations":['), F.lit('"stations":{'))).otherwise(json)
+    path = shared_path(spark, "dump")
+    fixtures._view(spark, sf_dir, _DUMP).select(lines.alias("value")).write.option("compression", "gzip").text(path)
+    return path
+
+
+@query("""SELECT id64, name, population, x, government FROM (SELECT c_custkey AS id64, c_name AS name, CAST(c_custkey % 5 AS BIGINT) AS population, (c_custkey % 100) + CAST(0.5 AS DOUBLE) AS x, CASE WHEN c_custkey % 16 = 1 THEN 'Prison Colony' ELSE 'Feudal' END AS government FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 7 NOT IN (0, 5)
+ UNION ALL SELECT c_custkey + 1000000, c_name, CAST(c_custkey % 5 AS BIGINT), (c_custkey % 100) + CAST(0.5 AS DOUBLE), CASE WHEN c_custkey % 16 = 1 THEN 'Prison Colony' ELSE 'Feudal' END FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 7 = 1)""", head="")
+def dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump that is written and read again by structure; what is broken is left out and costs no other document."""
+    return patches.systems(feeds.read_dump(spark, _dump_file(spark, sf_dir))).select("id64", "name", "population", "x", "government")
+
+
 @query("SELECT count(*) AS accepted FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey < 5000", head="")
 def push_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pushed batch within its bounds."""

@@ -1,4 +1,4 @@
-"""Sources: gzipped dumps of system documents, pushed documents, and compressed live frames."""
+"""Sources: dumps of system documents, pushed documents, and compressed live frames."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import BinaryType, StringType, StructType
 
+from .dump import scan_dump
+
 PUSH_LIMIT = 10_000
 DOCUMENT = """id64 bigint, name string, population bigint, coords struct<x:double,y:double,z:double>, bodies array<variant>, stations array<variant>,
  allegiance string, government string, primaryEconomy string, secondaryEconomy string, security string, bodyCount bigint, date string,
@@ -20,12 +22,13 @@ DOCUMENT = """id64 bigint, name string, population bigint, coords struct<x:doubl
  powerStateReinforcement double, powerStateUndermining double, powerConflictProgress variant, thargoidWar variant"""
 
 
-def read_dump(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Documents of a dump, one a line or one array; malformed ones are skipped.  gzip can't be split, so rows are dealt out after it."""
-    lines = spark.read.text(path)
-    trimmed = F.regexp_replace("value", r"^\s*\[?\s*|\s*,?\s*\]?\s*$", "")
-    clean = F.when(F.col("value").rlike(r"^\s*\[?\s*\{"), F.regexp_replace(F.regexp_replace("value", r"^\s*\[\s*", ""), r"(\})\s*(,|\])?\s*$", "$1")).otherwise(trimmed)
-    return documents(lines.select(clean.alias("json")).repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def read_dump(spark: SparkSession, path: str, partitions: int | None = None, members: bool = False) -> DataFrame:
+    """Documents of a dump, with ``seq`` in its order; those that can't be read are left out.
+
+    A gzip file is one task's to unpack (see ``dump``), so its texts are dealt out before they are parsed.
+    """
+    rows = scan_dump(spark, path, members)
+    return documents(rows.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def documents(rows: DataFrame) -> DataFrame:
