@@ -1,10 +1,9 @@
 """Route planning over implicit graphs: systems are nodes, an edge joins two within a range.
 
-Every edge costs one jump, so the best route is a breadth-first search.  A capsule around the line
-of travel bounds the nodes; up to ``LOCAL_NODES`` of them are searched in memory with numpy, ship routes
-over more level by level as joins of the frontier, whose lineage is cut at a checkpoint each level.  A carrier's
-greedy route is an aggregate a step over any number of systems.  Searches for carriers and neutron routes
-refuse more than ``LOCAL_NODES`` systems in a capsule.
+Every edge costs one jump, so the best route is a breadth-first search: level by level, each level a join of the frontier
+with the grid cells around it, written as a table that cuts the lineage.  Searches between two systems grow from both
+ends.  A capsule around the line of travel bounds the nodes; none of it comes to the driver but one row a jump.  Greedy
+routes are an aggregate a step over any number of systems.
 """
 
 from __future__ import annotations
@@ -12,21 +11,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
-
 from orrery.sources.shared import shared_dir
 
-from .search import grid_join, nearest_in_boxes
+from .search import nearest_in_boxes
 
-LOCAL_NODES = 200_000
 # Fixed values of the planners.
 SHIP_RANGE, CARRIER_RANGE, CARRIER_AIM, CARRIER_BOXES, CARRIER_STEPS, CARRIER_WIDTH = 14.99, 500.0, 498.5, (20.0, 50.0, 80.0, 110.0, 140.0), 500, 1500.0
-WAYPOINT_SPACING, SEGMENT_STEPS, FALLBACK, LAST_HOP, BASE_MASS, SQUADRON_MASS = 2000.0, 1000, 1.05, 1.5, 25_000.0, 60_000.0
+WAYPOINT_SPACING, SEGMENT_STEPS, FALLBACK, LAST_HOP, LONG, BASE_MASS, SQUADRON_MASS = 2000.0, 1000, 1.05, 1.5, 10_000.0, 25_000.0, 60_000.0
 Point = tuple[float, float, float]
 
 
@@ -34,64 +31,6 @@ class RouteError(ValueError):
     """No route, or an unknown system."""
 
 
-@dataclass
-class Nodes:
-    """Nodes in memory, with a grid of cells as wide as the range that is asked for."""
-
-    ids: np.ndarray
-    xyz: np.ndarray
-
-    @classmethod
-    def of(cls, df: DataFrame, most: int = LOCAL_NODES) -> Nodes:
-        if df.limit(most + 1).count() > most:
-            raise RouteError(f"more than {most} systems to search in memory")
-        t = df.select("id64", "x", "y", "z").orderBy("id64").toPandas()
-        return cls(t["id64"].to_numpy(np.int64), t[["x", "y", "z"]].to_numpy(np.float64))
-
-    def grid(self, size: float) -> Callable[[np.ndarray], np.ndarray]:
-        cells: dict[tuple, list[int]] = {}
-        for i, c in enumerate(map(tuple, np.floor(self.xyz / size).astype(np.int64))):
-            cells.setdefault(c, []).append(i)
-
-        def near(p: np.ndarray) -> np.ndarray:
-            cx, cy, cz = np.floor(p / size).astype(np.int64)
-            some = [i for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for i in cells.get((cx + a, cy + b, cz + c), ())]
-            return np.array(some, dtype=np.int64)
-
-        return near
-
-    def at(self, system_id: int) -> int:
-        i = int(np.searchsorted(self.ids, system_id))
-        if i == len(self.ids) or self.ids[i] != system_id:
-            raise RouteError(f"unknown system: {system_id}")
-        return i
-
-
-def _search(nodes: Nodes, start: int, reach: Callable[[int], float], widest: float, goal: int | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Depth (-1: not reached) and parent of each node; the parent is the one of least id."""
-    near, depth, parent = nodes.grid(widest), np.full(len(nodes.ids), -1), np.full(len(nodes.ids), -1)
-    depth[start], frontier, level = 0, [start], 0
-    while frontier and (goal is None or depth[goal] < 0) and (most is None or level < most):
-        level, found = level + 1, []
-        for u in sorted(frontier):
-            some = near(nodes.xyz[u])
-            some = some[depth[some] < 0]
-            if len(some):
-                d2 = ((nodes.xyz[some] - nodes.xyz[u]) ** 2).sum(1)
-                for v in some[d2 <= reach(u) ** 2].tolist():
-                    depth[v], parent[v] = level, u
-                    found.append(v)
-        frontier = found
-    return depth, parent
-
-
-def _path(parent: np.ndarray, goal: int) -> list[int]:
-    out = [goal]
-    while parent[out[-1]] >= 0:
-        out.append(int(parent[out[-1]]))
-    return out[::-1]
-
-
 def _checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -99,47 +38,155 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def depths_joined(nodes: DataFrame, start: int, radius: float, most: int = 10_000) -> DataFrame:
-    """Depths by level-synchronous joins, for node sets of any size: id64, depth, parent."""
-    seen = _checkpointed(nodes.where(F.col("id64") == start).select("id64", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent")))
-    frontier, level = seen, 0
-    while level < most and not frontier.isEmpty():
-        level += 1
-        # only the frontier meets its neighbours, so that no list of all pairs in range is ever made
-        step = grid_join(frontier.select("id64").join(nodes, "id64"), nodes, radius).groupBy(F.col("b").alias("id64")).agg(F.min("a").alias("parent"))
-        frontier = _checkpointed(step.join(seen, "id64", "left_anti").select("id64", F.lit(level).alias("depth"), "parent"))
-        seen = _checkpointed(seen.unionByName(frontier))
-    return seen
+# ------------------------------------------------------------------ search
+_XYZ = ("x", "y", "z")
+
+
+def graph(systems: DataFrame, reach: Column | float) -> DataFrame:
+    """Nodes of a search, written once: id64, x, y, z and how far a jump from there goes."""
+    far = F.lit(float(reach)) if isinstance(reach, (int, float)) else reach
+    return _checkpointed(systems.select("id64", *_XYZ, far.alias("reach")).where("x is not null and y is not null and z is not null"))
+
+
+def _linked(nodes: DataFrame, others: DataFrame, widest: float, backwards: bool = False) -> DataFrame:
+    """The ``nodes`` that can be reached from one of ``others`` by a jump (backwards: that reach one of them).
+
+    A semi-join on grid cells as wide as the widest jump, so that a node comes once however many reach it.
+    """
+    size, around = F.lit(float(widest)), F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    o = others.select(*[F.col(c).alias(f"o{c}") for c in _XYZ], F.col("reach").alias("oreach"))
+    for c in _XYZ:
+        o = o.withColumn("_k", F.explode(around)).withColumn(f"c{c}", F.floor(F.col(f"o{c}") / size) + F.col("_k")).drop("_k")
+    n = nodes.select("*", *[F.floor(F.col(c) / size).alias(f"n{c}") for c in _XYZ])
+    d2 = S.distance_squared(*map(F.col, ("x", "y", "z", "ox", "oy", "oz")))
+    far = F.col("reach" if backwards else "oreach")
+    same = (F.col("nx") == F.col("cx")) & (F.col("ny") == F.col("cy")) & (F.col("nz") == F.col("cz"))
+    return n.join(o, same & (d2 <= far * far), "left_semi").select(*nodes.columns)
+
+
+class _Side:
+    """One side of a search: a table of nodes for each depth, of which the last is the frontier.
+
+    ``seeds`` are ids and the depths at which they join in.
+    """
+
+    def __init__(self, nodes: DataFrame, widest: float, seeds: dict[int, int], backwards: bool = False):
+        self.nodes, self.widest, self.seeds, self.backwards = nodes, widest, seeds, backwards
+        self.first = self.level = min(seeds.values())
+        self.levels = {self.level: _checkpointed(self._due())}
+        self.older: list[DataFrame] = [self.levels[self.level].select("id64")]
+        self.size = self.levels[self.level].count()
+
+    def _due(self) -> DataFrame:
+        return self.nodes.where(F.col("id64").isin([k for k, d in self.seeds.items() if d == self.level]))
+
+    @property
+    def joined(self) -> bool:
+        return self.level >= max(self.seeds.values())
+
+    @property
+    def ended(self) -> bool:
+        return self.size == 0 and self.joined
+
+    def seen(self) -> DataFrame:
+        """The ids of all levels; some levels are put into one table now and then."""
+        if len(self.older) > 16:
+            self.older = [_checkpointed(reduce(DataFrame.union, self.older))]
+        return reduce(DataFrame.union, self.older)
+
+    def expand(self) -> None:
+        found = _linked(self.nodes, self.levels[self.level], self.widest, self.backwards)
+        self.level += 1
+        if self.level in self.seeds.values():
+            found = found.union(self._due()).dropDuplicates(["id64"])
+        self.levels[self.level] = _checkpointed(found.join(self.seen(), "id64", "left_anti"))
+        self.older.append(self.levels[self.level].select("id64"))
+        self.size = self.levels[self.level].count()
+
+    def depths(self) -> DataFrame:
+        return reduce(DataFrame.union, [t.select("id64", F.lit(k).alias("depth")) for k, t in self.levels.items()])
+
+
+def depths(systems: DataFrame, start: int, radius: float, most: int | None = None) -> DataFrame:
+    """Jumps from ``start`` to every system that can be reached (in ``most`` jumps): id64, depth."""
+    side = _Side(graph(systems, radius), radius, {start: 0})
+    while not side.ended and (most is None or side.level < most):
+        side.expand()
+    return side.depths()
+
+
+def shortest(nodes: DataFrame, widest: float, starts: dict[int, int], goals: dict[int, int], most: int | None = None) -> list[int] | None:
+    """Ids of a route of fewest jumps from one of ``starts`` to one of ``goals``, or None if there is none in ``most``.
+
+    Starts and goals have depths of their own, which count as jumps.  Both sides grow level by level, the smaller frontier
+    first, each level one semi-join against the nodes and one anti-join against what was seen; where
+    they meet is a join.  Of equal routes it is the one whose ids are least from the start on, so every run finds the same.
+    One row a jump comes to the driver.
+    """
+    ahead, back = _Side(nodes, widest, starts), _Side(nodes, widest, goals, backwards=True)
+    total: int | None = None
+
+    def met(new: _Side, other: _Side) -> None:
+        nonlocal total
+        least = new.levels[new.level].join(other.depths(), "id64").agg(F.min("depth")).first()[0]
+        if least is not None and (total is None or new.level + least < total):
+            total = new.level + least
+
+    met(ahead, back)
+    # every route of ahead.level + back.level jumps or fewer is known
+    while (total is None or total > ahead.level + back.level + 1) and (most is None or ahead.level + back.level < most):
+        if ahead.ended and back.joined or back.ended and ahead.joined:
+            break
+        grows = min((s for s in (ahead, back) if not s.ended), key=lambda s: s.size)
+        grows.expand()
+        met(grows, back if grows is ahead else ahead)
+    if total is None or most is not None and total > most:
+        return None
+    return _least_route(ahead, back, total)
+
+
+def _least_route(ahead: _Side, back: _Side, total: int) -> list[int]:
+    """The route of ``total`` jumps whose ids are least, from the levels of both sides."""
+    middle = min(ahead.level, total - back.first)
+    # what lies on a route, level by level from the middle to the start
+    on = {middle: _checkpointed(ahead.levels[middle].join(back.levels[total - middle].select("id64"), "id64", "left_semi"))}
+    for k in range(middle - 1, ahead.first - 1, -1):
+        on[k] = _checkpointed(_linked(ahead.levels[k], on[k + 1], ahead.widest, backwards=True)) if k in ahead.levels else on[k + 1].limit(0)
+    begins = [k for k in range(ahead.first, middle + 1) if k in ahead.seeds.values()]
+    at = None
+    for k in begins:  # a start of small depth wins among equals
+        at = on[k].where(F.col("id64").isin([i for i, d in ahead.seeds.items() if d == k])).orderBy("id64").first()
+        if at is not None:
+            break
+    route, level = [at.id64], k
+    for k in range(level + 1, total - back.first + 1):
+        rows = on[k] if k <= middle else back.levels[total - k]
+        here = S.distance_squared(*map(F.col, _XYZ), *[F.lit(at[c]) for c in _XYZ]) <= F.lit(at.reach * at.reach)
+        step = rows.where(here).orderBy("id64").first()
+        if step is None:  # a goal of greater depth was met
+            break
+        at = step
+        route.append(at.id64)
+    return route
 
 
-def depths(nodes: DataFrame, start: int, radius: float, local_nodes: int = LOCAL_NODES) -> DataFrame:
-    """Jumps from ``start`` to every system it can reach: id64, depth."""
-    if nodes.limit(local_nodes + 1).count() > local_nodes:
-        return depths_joined(nodes, start, radius).select("id64", "depth")
-    n = Nodes.of(nodes)
-    depth, _ = _search(n, n.at(start), lambda _: radius, radius)
-    on = depth >= 0
-    return nodes.sparkSession.createDataFrame(list(zip(n.ids[on].tolist(), depth[on].tolist(), strict=True)), "id64 bigint, depth int")
+def _place(systems: DataFrame, *ids: int) -> dict[int, Point]:
+    found = {r.id64: (r.x, r.y, r.z) for r in systems.where(F.col("id64").isin(*ids)).select("id64", "x", "y", "z").collect()}
+    for i in ids:
+        if found.get(i, (None,))[0] is None:
+            raise RouteError(f"unknown system: {i}")
+    return found
 
 
-def ship_route(systems: DataFrame, start: int, goal: int, radius: float = SHIP_RANGE, local_nodes: int = LOCAL_NODES) -> list[int]:
+def ship_route(systems: DataFrame, start: int, goal: int, radius: float = SHIP_RANGE) -> list[int]:
     """Ids of a route of fewest jumps."""
+    _place(systems, start, goal)
     if start == goal:
         return [start]
-    if systems.limit(local_nodes + 1).count() > local_nodes:
-        seen, out = depths_joined(systems, start, radius), [goal]
-        while out[-1] != start:  # as many look-ups as jumps
-            row = seen.where(F.col("id64") == out[-1]).first()
-            if row is None:
-                raise RouteError("no route")
-            out.append(row.parent)
-        return out[::-1]
-    nodes = Nodes.of(systems)
-    a, b = nodes.at(start), nodes.at(goal)
-    depth, parent = _search(nodes, a, lambda _: radius, radius, b)
-    if depth[b] < 0:
+    route = shortest(graph(systems, radius), radius, {start: 0}, {goal: 0})
+    if route is None:
         raise RouteError("no route")
-    return nodes.ids[_path(parent, b)].tolist()
+    return route
 
 
 # ------------------------------------------------------------------ carriers
@@ -172,18 +219,14 @@ def carrier_greedy(systems: DataFrame, place: dict[int, Point], start: int, goal
 
 
 def carrier_route(systems: DataFrame, start: int, goal: int, engine: str = "greedy") -> tuple[list[int], bool]:
-    """Ids of the route and whether the search beat the greedy one."""
-    place = {r.id64: (r.x, r.y, r.z) for r in systems.where(F.col("id64").isin(start, goal)).select("id64", "x", "y", "z").collect()}
-    if {start, goal} - set(place):
-        raise RouteError("unknown system")
-    near = capsule(systems, place[start], place[goal], CARRIER_WIDTH)
+    """Ids of the route and whether the search, which any engine but ``greedy`` asks for, beat the greedy one."""
+    place = _place(systems, start, goal)
+    near = graph(capsule(systems, place[start], place[goal], CARRIER_WIDTH), CARRIER_RANGE)
     greedy = carrier_greedy(near, place, start, goal)
-    if engine != "greedy":
-        nodes = Nodes.of(near)
-        b = nodes.at(goal)
-        depth, parent = _search(nodes, nodes.at(start), lambda _: CARRIER_RANGE, CARRIER_RANGE, b, len(greedy) - 2)
-        if 0 < depth[b] < len(greedy) - 1:
-            return nodes.ids[_path(parent, b)].tolist(), True
+    if engine != "greedy" and start != goal:
+        best = shortest(near, CARRIER_RANGE, {start: 0}, {goal: 0}, len(greedy) - 2)
+        if best is not None:
+            return best, True
     return greedy, False
 
 
@@ -221,74 +264,122 @@ def waypoints(spark: SparkSession, a: Point, b: Point, spacing: float = WAYPOINT
     return row.select("i", *[(F.lit(u) + F.lit(v - u) * (F.col("i") * F.lit(spacing) / F.lit(total or 1.0))).alias(c) for c, u, v in zip("xyz", a, b, strict=True)])
 
 
-def neutron_greedy(nodes: Nodes, neutron: np.ndarray, start: int, goal: int, stops: list[int], jump: float, ship: str = "") -> list[int]:
-    """From stop to stop by neutron stars, else by a normal star, always closer to the stop."""
-    boosted, at, out = boosted_range(jump, ship), nodes.at(start), []
-    visited = {at}
-    for stop in [*map(nodes.at, stops), nodes.at(goal)]:
-        to_stop = np.sqrt(((nodes.xyz - nodes.xyz[stop]) ** 2).sum(1))
+@dataclass(frozen=True)
+class Ship:
+    """How far a jump goes, from a plain star and from a neutron star."""
+
+    jump: float
+    kind: str = ""
+
+    @property
+    def boosted(self) -> float:
+        return boosted_range(self.jump, self.kind)
+
+
+def with_neutrons(systems: DataFrame, neutrons: DataFrame) -> DataFrame:
+    """``systems`` with ``neutron``; ``neutrons`` has systemId64."""
+    stars = neutrons.select(F.col("systemId64").alias("id64"), F.lit(True).alias("neutron"))
+    return systems.select("id64", "x", "y", "z").join(stars, "id64", "left").withColumn("neutron", F.coalesce("neutron", F.lit(False)))
+
+
+Near = Callable[[Point, float], DataFrame]
+
+
+def waypoints_to(ends: DataFrame, a: Point, spacing: float = WAYPOINT_SPACING) -> DataFrame:
+    """Points every ``spacing`` along the line from ``a`` to each of ``ends`` (id64, x, y, z): id64, i, x, y, z."""
+    total = S.distance(*map(F.col, _XYZ), *map(F.lit, a))
+    rows = ends.withColumn("_total", total).withColumn("_n", F.ceil(F.col("_total") / spacing).cast("int")).where("_n > 1")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("_n") - 1)))
+    return rows.select("id64", "i", *[(F.lit(u) + (F.col(c) - F.lit(u)) * (F.col("i") * F.lit(spacing) / F.col("_total"))).alias(c) for c, u in zip(_XYZ, a, strict=True)])
+
+
+def in_cube(marked: DataFrame) -> Near:
+    """Look-ups of ``marked`` by cube, for systems that aren't stored in an order of their own."""
+    return lambda centre, half: marked.where(S.in_box(F.col("x"), F.col("y"), F.col("z"), centre, half))
+
+
+def neutron_greedy(near: Near, ship: Ship, start: Row, stops: list[Row]) -> list[Row]:
+    """From stop to stop: the stop itself where it is in reach, else the star that gets closest to it.
+
+    Of what is closer to the stop than the ship is, a neutron star of the segment's capsule in reach comes first, then
+    any system in reach, then any a little beyond.  Each step is one aggregate over the cube around the ship, which ``near``
+    reads; every step gets closer, so no system of a segment is met twice.  Rows have id64, x, y, z, neutron.
+    """
+    at, out = start, [start]
+    xyz = [F.col(c) for c in _XYZ]
+    point = lambda r: (r.x, r.y, r.z)
+    for stop in stops:
+        segment = S.in_capsule(*xyz, point(at), point(stop), max(3 * ship.boosted, 1500.0))
         for _ in range(SEGMENT_STEPS):
-            if at == stop:
+            reach, left = ship.boosted if at.neutron else ship.jump, math.dist(point(at), point(stop))
+            if left <= reach:
+                if at.id64 != stop.id64:
+                    out.append(stop)
+                at = stop
                 break
-            reach = boosted if neutron[at] else jump
-            d = np.sqrt(((nodes.xyz - nodes.xyz[at]) ** 2).sum(1))
-            nxt = stop if d[stop] <= reach else None
-            fresh = np.ones(len(d), bool)
-            fresh[list(visited)] = False
-            for limit, only in ((reach, neutron), (reach, ~neutron), (reach * FALLBACK, ~neutron)):
-                if nxt is None:
-                    ok = np.flatnonzero(fresh & only & (d <= limit) & (to_stop < to_stop[at]))
-                    nxt = int(ok[np.argmin(to_stop[ok])]) if len(ok) else None
-            if nxt is None:
+            d, t = S.distance(*xyz, *map(F.lit, point(at))), S.distance(*xyz, *map(F.lit, point(stop)))
+            rank = F.when(F.col("neutron") & segment & (d <= reach), 1).when(d <= reach, 2).when(d <= reach * FALLBACK, 3)
+            ahead = near(point(at), reach * FALLBACK).where(rank.isNotNull() & (d > 0) & (t < left))
+            best = ahead.agg(F.min(F.struct(rank.alias("rank"), t.alias("t"), "id64", "x", "y", "z", "neutron")).alias("m")).first().m
+            if best is None:
                 break
-            at = nxt
-            visited.add(at)
+            at = best
             out.append(at)
-    end = nodes.at(goal)
-    if at != end:
-        if math.dist(nodes.xyz[at], nodes.xyz[end]) > LAST_HOP * (boosted if neutron[at] else jump):
-            raise RouteError("only part of the route was found")
-        out.append(end)
-    return nodes.ids[[nodes.at(start), *out]].tolist()
+    return out
+
 
+def neutron_search(systems: DataFrame, neutrons: DataFrame, start: int, goal: int, ship: Ship, most: int | None = None) -> list[int] | None:
+    """Fewest jumps over all systems: a neutron star's jumps are boosted, any other's aren't; None if there is no route."""
+    reach = F.when(F.col("neutron"), F.lit(ship.boosted)).otherwise(F.lit(ship.jump))
+    return shortest(graph(with_neutrons(systems, neutrons), reach), ship.boosted, {start: 0}, {goal: 0}, most)
 
-def neutron_search(nodes: Nodes, neutron: np.ndarray, start: int, goal: int, jump: float, ship: str = "", most: int | None = None) -> list[int] | None:
-    """Fewest jumps: a neutron star's jumps are boosted, any other's aren't; None if there is no route."""
-    boosted, a, b = boosted_range(jump, ship), nodes.at(start), nodes.at(goal)
-    depth, parent = _search(nodes, a, lambda u: boosted if neutron[u] else jump, boosted, b, most)
-    return nodes.ids[_path(parent, b)].tolist() if depth[b] >= 0 else None
 
+def refined(nodes: DataFrame, ship: Ship, greedy: list[Row], long: bool) -> list[int] | None:
+    """Fewer jumps than ``greedy`` has by neutron stars, or None.
 
-def neutron_route(systems: DataFrame, neutrons: DataFrame, start: int, goal: int, jump: float, ship: str = "", engine: str = "astar") -> tuple[list[int], bool]:
+    The search starts at the first neutron star of the greedy route, as deep as it stands there, and what leads to it stays; a
+    long route's also ends at the last one, whose way to the goal stays.  ``nodes`` are the stars and the goal.
+    """
+    ids, stars = [r.id64 for r in greedy], [k for k, r in enumerate(greedy) if r.neutron]
+    first, last = (stars[0], stars[-1]) if stars else (0, len(ids) - 1)
+    last = last if long and last > first else len(ids) - 1
+    middle = shortest(nodes, ship.boosted, {ids[first]: first}, {ids[last]: len(ids) - 1 - last}, len(ids) - 2)
+    return None if middle is None else ids[:first] + middle + ids[last + 1 :]
+
+
+def neutron_route(systems: DataFrame, neutrons: DataFrame, start: int, goal: int, ship: Ship, engine: str = "astar", near: Near | None = None) -> tuple[list[int], bool]:
     """Greedy by way of the neutron star nearest to each waypoint; any engine but ``greedy`` also looks for fewer jumps.
 
-    Returns the ids and whether the search beat the greedy route.  ``neutrons`` has systemId64.
+    Returns the ids and whether the search beat the greedy route.  ``neutrons`` has systemId64; ``near`` gives marked systems
+    of a cube (``systems`` themselves, written once, if it is missing).
     """
-    place = {r.id64: (r.x, r.y, r.z) for r in systems.where(F.col("id64").isin(start, goal)).select("id64", "x", "y", "z").collect()}
-    if {start, goal} - set(place):
-        raise RouteError("unknown system")
+    place = _place(systems, start, goal)
     if start == goal:
         return [start], False
-    width = max(6 * boosted_range(jump, ship), 3000.0)
-    near = capsule(systems, place[start], place[goal], width).join(neutrons.select(F.col("systemId64").alias("id64"), F.lit(True).alias("neutron")), "id64", "left")
-    nodes = Nodes.of(near)
-    stars = near.where("neutron")
-    neutron = np.isin(nodes.ids, stars.select("id64").toPandas()["id64"].to_numpy(np.int64))
-    found = nearest_in_boxes(waypoints(systems.sparkSession, place[start], place[goal]), stars).orderBy("i").collect()
-    stops = [r.id64 for k, r in enumerate(found) if not k or r.id64 != found[k - 1].id64]
-    try:
-        greedy = neutron_greedy(nodes, neutron, start, goal, stops, jump, ship)
-    except RouteError:
-        if engine == "greedy":
-            raise
-        greedy = None
+    a, b = place[start], place[goal]
+    marked = _checkpointed(with_neutrons(systems, neutrons)) if near is None else None
+    near = near or in_cube(marked)
+    row = lambda i: near(place[i], 0.0).where(F.col("id64") == i).first()
+    width = max(6 * ship.boosted, 3000.0)
+    stars = systems.select("id64", "x", "y", "z").join(neutrons.select(F.col("systemId64").alias("id64")), "id64", "left_semi")
+    corridor = _checkpointed(capsule(stars, a, b, width))
+    found = nearest_in_boxes(waypoints(systems.sparkSession, a, b), corridor).join(corridor, "id64").orderBy("i").collect()
+    stops = [Row(id64=r.id64, x=r.x, y=r.y, z=r.z, neutron=True) for k, r in enumerate(found) if not k or r.id64 != found[k - 1].id64]
+    end = row(goal)
+    greedy = neutron_greedy(near, ship, row(start), [*stops, end])
+    if greedy[-1].id64 != goal:
+        last = greedy[-1]
+        if math.dist((last.x, last.y, last.z), b) > LAST_HOP * (ship.boosted if last.neutron else ship.jump):
+            raise RouteError("only part of the route was found")
+        greedy.append(end)
+    ids = [r.id64 for r in greedy]
     if engine != "greedy":
-        best = neutron_search(nodes, neutron, start, goal, jump, ship, None if greedy is None else len(greedy) - 2)
-        if best:
-            return best, greedy is not None
-        if greedy is None:
-            raise RouteError("no route")
-    return greedy, False
+        others = systems.where(F.col("id64").isin([r.id64 for r in (greedy[0], end) if not r.neutron])).select("id64", "x", "y", "z", F.lit(ship.jump).alias("reach"))
+        nodes = graph(corridor.select("*", F.lit(ship.boosted).alias("reach")).union(others).dropDuplicates(["id64"]), F.col("reach"))
+        best = refined(nodes, ship, greedy, math.dist(a, b) > LONG)
+        if best is not None:
+            return best, True
+    return ids, False
 
 
 # ------------------------------------------------------------------ rendering

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
 from orrery.operators import heatmap, merge, routing, search, translate
-from orrery.sources import feeds, fixtures, patches
+from orrery.sources import feeds, fixtures, layout, patches
 from orrery.sources.shared import shared_path
 from orrery.streaming import live
 
@@ -51,6 +50,19 @@ def cube_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.cube_search(fixtures.systems(spark, sf_dir), bodies(spark, sf_dir), search.CubeQuery(size=200))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_path(spark, "points")
+    layout.write_points(fixtures.systems(spark, sf_dir), path)
+    return path
+
+
+@query(ORACLE_SQL["cube_all"], head="")
+def cube_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cube from systems that are stored in Z-order."""
+    here = layout.read_box(spark, _stored(spark, sf_dir), (0.0, 0.0, 0.0), 100.0)
+    return search.cube_search(here, bodies(spark, sf_dir), search.CubeQuery(size=200))
+
+
 def _cube(cond: str, needed: tuple[str, ...] = ()) -> str:
     exists = "".join(f" AND EXISTS (SELECT 1 FROM bodies b2 WHERE b2.systemId64 = s.id64 AND b2.subType = '{n}')" for n in needed)
     return f"""SELECT CAST(id64 AS VARCHAR) AS systemId64, s.name AS system, {_AT0} AS systemDistLy, {_YES}, x, y, z,
@@ -209,6 +221,12 @@ _T = "greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), ((x+100)*CAST(200 AS
 
 
 @query(f", p AS (SELECT *, {_T} AS t FROM systems) SELECT id64, name FROM p WHERE (x+100-t*200)*(x+100-t*200)+(y+20-t*40)*(y+20-t*40)+(z-100+t*200)*(z-100+t*200) <= CAST(900 AS DOUBLE)", head=_WITH.rstrip())
+def capsule_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capsule from systems that are stored in Z-order."""
+    return layout.read_capsule(spark, _stored(spark, sf_dir), (-100.0, -20.0, 100.0), (100.0, 20.0, -100.0), 30.0).select("id64", "name")
+
+
+@query(ORACLE_SQL["capsule_stored"], head="")
 def capsule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.capsule(fixtures.systems(spark, sf_dir), (-100.0, -20.0, 100.0), (100.0, 20.0, -100.0), 30.0).select("id64", "name")
 
@@ -229,13 +247,10 @@ def ship_route_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(route[0], route[-1], len(route) - 1)], "from_id bigint, to_id bigint, jumps int")
 
 
-@query()
+@query(_BFS, head=_WITH.rstrip())
 def ship_bfs_depths_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search by joins, as for node sets beyond memory."""
-    return routing.depths_joined(fixtures.systems(spark, sf_dir), 1, 40.0).select("id64", "depth")
-
-
-ORACLE_SQL["ship_bfs_depths_joined"] = ORACLE_SQL["ship_bfs_depths"]
+    """The same search from systems that are stored in Z-order."""
+    return routing.depths(layout.read_points(spark, _stored(spark, sf_dir)), 1, 40.0)
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,23 +266,46 @@ g(step, id64, hx, hy, hz) AS (SELECT 0, id64, x, y, z FROM w WHERE id64 = 1 UNIO
    SELECT step, w.id64, x, y, z, sqrt((x-ex)*(x-ex)+(y-ey)*(y-ey)+(z-ez)*(z-ez)) AS t, sqrt((x-hx)*(x-hx)+(y-hy)*(y-hy)+(z-hz)*(z-hz)) AS d, h,
     greatest(abs(x-(hx+(ex-hx)/h*CAST(498.5 AS DOUBLE))), abs(y-(hy+(ey-hy)/h*CAST(498.5 AS DOUBLE))), abs(z-(hz+(ez-hz)/h*CAST(498.5 AS DOUBLE)))) AS off
    FROM (SELECT *, sqrt((hx-ex)*(hx-ex)+(hy-ey)*(hy-ey)+(hz-ez)*(hz-ez)) AS h FROM g, e) g2 JOIN w ON h > 500) c
-  WHERE off <= 140 AND d > 0 AND d <= 500 AND t < h) c2 GROUP BY step),
-r AS (SELECT step, id64 FROM g UNION ALL SELECT max(step) + 1, 100 FROM g),
-q AS (SELECT r.step, r.id64, name, x, y, z FROM r JOIN w ON w.id64 = r.id64),
+  WHERE off <= 140 AND d > 0 AND d <= 500 AND t < h) c2 GROUP BY step),"""
+
+
+def _rendered(boost: str = "false") -> str:
+    """The columns of a route r (step, id64) over w."""
+    return f"""q AS (SELECT r.step, r.id64, name, x, y, z{"" if boost == "false" else ", star"} FROM r JOIN w ON w.id64 = r.id64),
 p AS (SELECT *, coalesce(sqrt((x-lag(x) OVER v)*(x-lag(x) OVER v)+(y-lag(y) OVER v)*(y-lag(y) OVER v)+(z-lag(z) OVER v)*(z-lag(z) OVER v)), 0) AS back,
  sqrt((x-first(x) OVER v)*(x-first(x) OVER v)+(y-first(y) OVER v)*(y-first(y) OVER v)+(z-first(z) OVER v)*(z-first(z) OVER v)) AS straight FROM q WINDOW v AS (ORDER BY step))
 SELECT CAST(step AS INTEGER) AS step, CAST(id64 AS VARCHAR) AS id64, name, round(back*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS distance_from_prev, round(coalesce(lead(back) OVER (ORDER BY step), 0)*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS jump_distance,
- round(sum(back) OVER (ORDER BY step)*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS distance_from_start, round(straight*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS straight_from_start, false AS used_neutron_boost FROM p"""
+ round(sum(back) OVER (ORDER BY step)*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS distance_from_start, round(straight*CAST(100 AS DOUBLE))/CAST(100 AS DOUBLE) AS straight_from_start, {boost} AS used_neutron_boost FROM p"""
+
 
+_GREEDY_ROUTE = "(SELECT step, id64 FROM g UNION ALL SELECT max(step) + 1, 100 FROM g)"
 
-@query(_CARRIER, head=_WITH.rstrip())
+
+@query(f"{_CARRIER}\nr AS {_GREEDY_ROUTE},\n{_rendered()}", head=_WITH.rstrip())
 def carrier_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     systems = _wide(spark, sf_dir)
     route, _ = routing.carrier_route(systems, 1, 100, "greedy")
     return routing.render(systems, route)
 
 
-@query()
+#: The route of fewest jumps whose ids are least: jumps to the goal from every node, then step by step the least id that is one nearer.
+_LEAST = """links AS MATERIALIZED (SELECT a.id64 AS a, b.id64 AS b FROM nodes a JOIN nodes b ON a.id64 <> b.id64 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= a.reach*a.reach),
+away(id64, d) AS (SELECT CAST(100 AS BIGINT), 0 UNION SELECT links.a, away.d + 1 FROM away JOIN links ON links.b = away.id64 WHERE away.d < 12),
+near AS MATERIALIZED (SELECT id64, min(d) AS d FROM away GROUP BY id64),
+path(step, id64, d) AS (SELECT step, near.id64, near.d FROM seed JOIN near ON near.id64 = seed.id64
+ UNION ALL SELECT path.step + 1, min(near.id64), path.d - 1 FROM path JOIN links ON links.a = path.id64 JOIN near ON near.id64 = links.b AND near.d = path.d - 1 GROUP BY path.step, path.d)"""
+
+
+@query(f"""{_CARRIER}
+gr AS {_GREEDY_ROUTE},
+ends AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, ex - a.x AS dx, ey - a.y AS dy, ez - a.z AS dz FROM w a, e WHERE a.id64 = 1),
+along AS (SELECT w.*, x - ax AS px, y - ay AS py, z - az AS pz, dx, dy, dz, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), ((x-ax)*dx+(y-ay)*dy+(z-az)*dz)/(dx*dx+dy*dy+dz*dz))) AS t FROM w, ends),
+nodes AS (SELECT id64, x, y, z, CAST(500 AS DOUBLE) AS reach FROM along WHERE (px-t*dx)*(px-t*dx)+(py-t*dy)*(py-t*dy)+(pz-t*dz)*(pz-t*dz) <= CAST(2250000 AS DOUBLE)),
+seed AS (SELECT 0 AS step, CAST(1 AS BIGINT) AS id64),
+{_LEAST},
+best AS (SELECT (SELECT max(step) FROM path) < (SELECT max(step) FROM gr) AS searched),
+r AS (SELECT step, id64 FROM path, best WHERE searched UNION ALL SELECT step, id64 FROM gr, best WHERE searched IS NOT TRUE),
+{_rendered()}""", head=_WITH.rstrip())
 def carrier_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greedy route, or a searched one of fewer jumps."""
     systems = _wide(spark, sf_dir)
@@ -290,22 +328,48 @@ def carrier_fuel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.fuel_steps(fixtures._view(spark, sf_dir, _HOPS), tank=1000, market=2000, cargo=100)
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, 3000*(i*CAST(2000 AS DOUBLE)/CAST(5000 AS DOUBLE)) AS x, CAST(0 AS DOUBLE) AS y, 4000*(i*CAST(2000 AS DOUBLE)/CAST(5000 AS DOUBLE)) AS z FROM range(1, 3) t(i)", head="")
+@query(f""", n AS (SELECT * FROM systems WHERE id64 % 10 = 1), t AS (SELECT n.id64, n.x*30 AS x, n.y*30 AS y, n.z*30 AS z, sqrt(900*(n.x*n.x+n.y*n.y+n.z*n.z)) AS far FROM n)
+SELECT id64, CAST(i AS INTEGER) AS i, x*(i*CAST(2000 AS DOUBLE)/far) AS x, y*(i*CAST(2000 AS DOUBLE)/far) AS y, z*(i*CAST(2000 AS DOUBLE)/far) AS z FROM t, range(1, 10) r(i) WHERE i < ceil(far/2000)""", head=_WITH.rstrip())
 def neutron_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.waypoints(spark, (0.0, 0.0, 0.0), (3000.0, 0.0, 4000.0))
-
-
-def _neutron(spark: SparkSession, sf_dir: str):
-    nodes = routing.Nodes.of(fixtures.systems(spark, sf_dir))
-    stars = [r.systemId64 for r in merge.neutron_systems(fixtures.body_patches(spark, sf_dir)).collect()]
-    return nodes, np.isin(nodes.ids, stars)
-
-
-@query()
+    """Waypoints from the origin to every tenth system at thirty times the spacing."""
+    ends = fixtures.systems(spark, sf_dir).where("id64 % 10 = 1").select("id64", *[(F.col(c) * 30.0).alias(c) for c in "xyz"])
+    return routing.waypoints_to(ends, (0.0, 0.0, 0.0))
+
+
+def _neutron_sql(scale: int, jump: int) -> str:
+    """g: the greedy route with its stops, over systems at ``scale`` times the spacing.  The capsules are wider than the catalogue."""
+    far = lambda p, q: "sqrt(" + "+".join(f"({p}{c}-{q}{c})*({p}{c}-{q}{c})" for c in "xyz") + ")"
+    return f""", star AS (SELECT DISTINCT systemId64 FROM patches WHERE subType = 'Neutron Star'),
+w AS MATERIALIZED (SELECT id64, name, x*CAST({scale} AS DOUBLE) AS x, y*CAST({scale} AS DOUBLE) AS y, z*CAST({scale} AS DOUBLE) AS z, systemId64 IS NOT NULL AS star FROM systems LEFT JOIN star ON systemId64 = id64),
+ends AS (SELECT a.x AS ux, a.y AS uy, a.z AS uz, b.x AS vx, b.y AS vy, b.z AS vz, {far('a.', 'b.')} AS total FROM w a, w b WHERE a.id64 = 1 AND b.id64 = 100),
+way AS (SELECT i, ux+(vx-ux)*(i*CAST(2000 AS DOUBLE)/total) AS wx, uy+(vy-uy)*(i*CAST(2000 AS DOUBLE)/total) AS wy, uz+(vz-uz)*(i*CAST(2000 AS DOUBLE)/total) AS wz FROM ends, range(1, 100) r(i) WHERE i < ceil(total/2000)),
+boxed AS (SELECT i, id64, (x-wx)*(x-wx)+(y-wy)*(y-wy)+(z-wz)*(z-wz) AS d2, greatest(abs(x-wx), abs(y-wy), abs(z-wz)) AS off FROM way JOIN w ON w.star),
+stop AS (SELECT i, arg_min(id64, (CASE WHEN off <= 300 THEN 1 WHEN off <= 800 THEN 2 WHEN off <= 1500 THEN 3 ELSE 4 END, d2, id64)) AS id64 FROM boxed WHERE off <= 3000 GROUP BY i),
+kept AS (SELECT i, id64 FROM (SELECT i, id64, lag(id64) OVER (ORDER BY i) AS prior FROM stop) WHERE prior IS NULL OR prior <> id64 UNION ALL SELECT 1000, 100),
+st AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS k, w.id64 AS sid, x AS sx, y AS sy, z AS sz FROM kept JOIN w ON w.id64 = kept.id64),
+g(turn, k, id64, hx, hy, hz, star, moved) AS (SELECT 0, 1, id64, x, y, z, star, true FROM w WHERE id64 = 1
+ UNION ALL SELECT turn + 1, CASE WHEN b IS NULL OR b.rank = 0 THEN k + 1 ELSE k END, coalesce(b.id, id64), coalesce(b.x, hx), coalesce(b.y, hy), coalesce(b.z, hz), coalesce(b.star, star), b IS NOT NULL AND b.id <> id64 FROM (
+  SELECT turn, k, id64, hx, hy, hz, star, min(CASE WHEN rank IS NOT NULL THEN {{'rank': rank, 't': t, 'id': id, 'x': x, 'y': y, 'z': z, 'star': wstar}} END) AS b FROM (
+   SELECT *, CASE WHEN l <= reach THEN CASE WHEN id = sid THEN 0 END WHEN t >= l OR d = 0 THEN NULL WHEN wstar AND d <= reach THEN 1 WHEN d <= reach THEN 2 WHEN d <= reach * CAST(1.05 AS DOUBLE) THEN 3 END AS rank FROM (
+    SELECT g.*, sid, w.id64 AS id, x, y, z, w.star AS wstar, {far('h', '')} AS d, {far('s', '')} AS t, {far('h', 's')} AS l, CASE WHEN g.star THEN CAST({4 * jump} AS DOUBLE) ELSE CAST({jump} AS DOUBLE) END AS reach FROM g JOIN st ON st.k = g.k JOIN w ON true WHERE turn < 300) c) c2
+  GROUP BY turn, k, id64, hx, hy, hz, star) c3),
+walked AS (SELECT CAST(row_number() OVER (ORDER BY turn) - 1 AS INTEGER) AS step, id64 FROM g WHERE moved),
+gr AS (SELECT step, id64 FROM walked UNION ALL SELECT (SELECT max(step) + 1 FROM walked), 100 WHERE (SELECT arg_max(id64, step) FROM walked) <> 100),
+"""
+
+
+_BOOST = "star AND lead(step) OVER (ORDER BY step) IS NOT NULL"
+
+
+@query(f"{_neutron_sql(1, 40)}r AS (SELECT * FROM gr),\n{_rendered(_BOOST)}", head=_WITH.rstrip())
 def neutron_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, neutron = _neutron(spark, sf_dir)
-    route = routing.neutron_greedy(nodes, neutron, 1, 100, [], 40.0)
-    return routing.render(fixtures.systems(spark, sf_dir), route, merge.neutron_systems(fixtures.body_patches(spark, sf_dir)))
+    """One segment, over systems that are stored in Z-order."""
+    systems, stars = fixtures.systems(spark, sf_dir), merge.neutron_systems(fixtures.body_patches(spark, sf_dir))
+    path = shared_path(spark, "marked")
+    layout.write_points(routing.with_neutrons(systems, stars), path)
+    near = lambda centre, half: layout.read_box(spark, path, centre, half)
+    route, _ = routing.neutron_route(systems, stars, 1, 100, routing.Ship(40.0), "greedy", near)
+    return routing.render(systems, route, stars)
 
 
 @query(f""", n AS (SELECT DISTINCT systemId64 FROM patches WHERE subType = 'Neutron Star'),
@@ -313,16 +377,21 @@ e AS MATERIALIZED (SELECT a.id64 AS a, b.id64 AS b FROM systems a LEFT JOIN n ON
 bfs(id64, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.b, bfs.depth + 1 FROM bfs JOIN e ON e.a = bfs.id64 WHERE bfs.depth < 20)
 SELECT CAST(min(depth) AS INTEGER) AS jumps FROM bfs WHERE id64 = 100""", head=_WITH.rstrip())
 def neutron_bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, neutron = _neutron(spark, sf_dir)
-    route = routing.neutron_search(nodes, neutron, 1, 100, 20.0)
+    stars = merge.neutron_systems(fixtures.body_patches(spark, sf_dir))
+    route = routing.neutron_search(fixtures.systems(spark, sf_dir), stars, 1, 100, routing.Ship(20.0))
     return spark.createDataFrame([(None if route is None else len(route) - 1,)], "jumps int")
 
 
-@query()
+@query(f"""{_neutron_sql(10, 150)}nodes AS (SELECT id64, x, y, z, CASE WHEN star THEN CAST(600 AS DOUBLE) ELSE CAST(150 AS DOUBLE) END AS reach FROM w WHERE star OR id64 IN (1, 100)),
+seed AS (SELECT step, id64 FROM (SELECT gr.step, gr.id64, w.star FROM gr JOIN w ON w.id64 = gr.id64) ORDER BY NOT star, step LIMIT 1),
+{_LEAST},
+best AS (SELECT (SELECT max(step) FROM path) < (SELECT max(step) FROM gr) AND (SELECT count(*) FROM path WHERE id64 = 100) > 0 AS searched),
+r AS (SELECT gr.step, gr.id64 FROM gr, best, seed WHERE searched AND gr.step < seed.step UNION ALL SELECT step, id64 FROM path, best WHERE searched UNION ALL SELECT step, id64 FROM gr, best WHERE searched IS NOT TRUE),
+{_rendered(_BOOST)}""", head=_WITH.rstrip())
 def neutron_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By waypoints, greedy and search, over the catalogue at ten times the spacing."""
     systems, stars = _wide(spark, sf_dir), merge.neutron_systems(fixtures.body_patches(spark, sf_dir))
-    route, _ = routing.neutron_route(systems, stars, 1, 100, 300.0)
+    route, _ = routing.neutron_route(systems, stars, 1, 100, routing.Ship(150.0))
     return routing.render(systems, route, stars)
 
 
