@@ -67,19 +67,32 @@ def json(v: Column, path: str) -> Column:
 _READ = {"double": number, "bigint": integer, "string": text, "flag": flag, "whole": whole, "int": flag_or_int, "json": json}
 
 
-def _once(df: DataFrame, **values: Column) -> DataFrame:
+def once(df: DataFrame, **values: Column) -> DataFrame:
     """``df`` with columns that are computed once: a generator stands between them and what reads them, so that
     filters aren't pushed below it with a copy of the expression each."""
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
+def read(frames: DataFrame, payload: str = "json", schema: str = JOURNAL) -> DataFrame:
+    """All ``frames`` with event, id64, system and the message as a VARIANT; ``_unread`` where the payload isn't JSON, ``_named``
+    where it is a journal message (its frame's schema begins with ``schema``) that names a system."""
+    rows = once(frames, _v=F.try_parse_json(F.col(payload)))
+    rows = once(rows, _schema=text(F.col("_v"), "$['$schemaRef']"), message=F.try_variant_get("_v", "$.message", "variant"), _unread=F.col("_v").isNull()).drop("_v")
+    m = F.col("message")
+    rows = once(rows, event=text(m, "$.event"), id64=integer(m, "$.SystemAddress"), system=text(m, "$.StarSystem"))
+    named = F.col("_schema").startswith(schema) & F.col("event").isNotNull() & F.col("id64").isNotNull() & (F.col("system") != "")
+    return rows.withColumn("_named", F.coalesce(named, F.lit(False))).drop("_schema")
+
+
 def messages(frames: DataFrame, payload: str = "json", schema: str = JOURNAL) -> DataFrame:
     """Journal messages that name a system: event, id64, system and the message as a VARIANT.  A frame's schema begins with ``schema``."""
-    rows = _once(frames, _v=F.try_parse_json(F.col(payload)))
-    rows = _once(rows, _schema=text(F.col("_v"), "$['$schemaRef']"), message=F.try_variant_get("_v", "$.message", "variant")).drop("_v")
-    m = F.col("message")
-    rows = _once(rows.where(F.col("_schema").startswith(schema)).drop("_schema"), event=text(m, "$.event"), id64=integer(m, "$.SystemAddress"), system=text(m, "$.StarSystem"))
-    return rows.where("event is not null and id64 is not null and system <> ''")
+    return read(frames, payload, schema).where("_named").drop("_named", "_unread")
+
+
+def placed(m: Column) -> Column:
+    """Whether a message has three numbers as its place."""
+    place = [number(m, f"$.StarPos[{i}]").isNotNull() for i in range(3)]
+    return place[0] & place[1] & place[2] & shape(m, "$.StarPos[3]").isNull()
 
 
 def of_body(m: Column) -> Column:
@@ -106,8 +119,7 @@ def systems(rows: DataFrame) -> DataFrame:
     """Patches of systems: every message that is handled names one and its place, only jumps say more."""
     m, jump = F.col("message"), F.col("event").isin(*JUMPS)
     place = [number(m, f"$.StarPos[{i}]") for i in range(3)]
-    whole = place[0].isNotNull() & place[1].isNotNull() & place[2].isNotNull() & shape(m, "$.StarPos[3]").isNull()
-    place = {c: F.when(whole, p) for c, p in zip("xyz", place, strict=True)}
+    place = {c: F.when(placed(m), p) for c, p in zip("xyz", place, strict=True)}
     said = {
         "population": integer(m, "$.Population"), "allegiance": F.nullif(text(m, "$.SystemAllegiance"), F.lit("")), "government": _localised("SystemGovernment"),
         "primaryEconomy": _localised("SystemEconomy"), "secondaryEconomy": _localised("SystemSecondEconomy"), "security": _localised("SystemSecurity"),

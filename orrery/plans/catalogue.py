@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
 from orrery.operators import heatmap, merge, routing, search, translate
 from orrery.sources import feeds, fixtures, layout, patches
 from orrery.sources.shared import shared_path
-from orrery.streaming import live
+from orrery.streaming import live, stats
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -537,6 +537,23 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.ingest_stats(frames, "json", v, handled)
 
 
+@query(f"""SELECT count(*) AS messages_received, CAST(count(*) FILTER (WHERE NOT broken AND {_EVENT}) AS BIGINT) AS messages_processed, CAST(count(*) FILTER (WHERE broken) AS BIGINT) AS messages_dropped,
+ CAST(count(*) FILTER (WHERE NOT broken AND {_EVENT} AND o_orderkey % 5 IN (1, 3)) AS BIGINT) AS bodies_emitted, CAST(count(*) FILTER (WHERE NOT broken AND {_EVENT} AND o_orderkey % 5 = 2) AS BIGINT) AS stations_emitted,
+ CAST(count(*) FILTER (WHERE NOT broken AND {_EVENT} AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0) AS BIGINT) AS total_bumps, CAST(max(o_orderkey) FILTER (WHERE NOT broken AND {_EVENT}) AS BIGINT) AS last_message_time,
+ (SELECT count(*) FROM customer WHERE c_custkey % 17 <> 0) AS systems_ingested, (SELECT count(*) FROM customer WHERE c_custkey % 17 <> 0) AS bodies_ingested, (SELECT max(o_orderkey) FROM orders WHERE o_custkey % 10 = 3) AS last_sync, 'false' AS import_complete
+ FROM (SELECT *, o_orderkey % 10 = 0 AS broken FROM orders)""", head="")
+def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested report, opened up: counts that were observed while the live messages were written as patches, a push, and the meta table."""
+    frames = fixtures._view(spark, sf_dir, _LIVE).withColumn("json", F.when(F.col("seq") % 20 == 0, F.lit("{broken")).when(F.col("seq") % 10 != 0, F.col("json")))
+    watch, live_counts = Observation(), stats.Counters()
+    translate.systems(stats.observed(frames, watch, schema=_SCHEMA, arrived="seq")).write.parquet(shared_path(spark, "patches"))
+    live_counts.add(watch.get)
+    meta = fixtures._view(spark, sf_dir, "SELECT CASE WHEN o_custkey % 10 = 3 THEN 'last_sync_time' ELSE 'other' END AS key, CAST(o_orderkey AS VARCHAR(20)) AS value, o_orderkey AS seq FROM orders")
+    found = stats.report(spark, live_counts, stats.pushed_counts(_documents(spark, sf_dir), F.lit(5)), merge.fold(meta, ["key"], {}))
+    from_live = [f"live_ingest.{c}" for c in ("messages_received", "messages_processed", "messages_dropped", "bodies_emitted", "stations_emitted", "last_message_time")]
+    return found.select(*from_live, "heatmap.total_bumps", "push_ingest.systems_ingested", "push_ingest.bodies_ingested", "database.last_sync", "database.import_complete")
+
+
 # ------------------------------------------------------------------ ingest
 _DUMP = """SELECT c_custkey AS seq, concat('{"id64":', CASE WHEN c_custkey % 17 = 0 THEN 'null' ELSE CAST(c_custkey AS VARCHAR(20)) END, ',"name":"', c_name, '","population":', c_custkey % 5, ',"coords":{"x":', c_custkey % 100, '.5,"y":0.25,"z":-', c_custkey % 7,
  '},"government":"', CASE WHEN c_custkey % 16 = 1 THEN 'Prison Colony' ELSE 'Feudal' END, '","controllingFaction":{"name":"F', c_nationkey, '"},"bodies":[{"bodyId":', CASE WHEN c_custkey % 5 = 0 THEN '"7"' ELSE CAST(c_custkey % 9 AS VARCHAR(20)) END, ',"subType":"Neutron Star","isLandable":', CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '1' END,

@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import re
-import time
 import zlib
-from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import BinaryType, StringType, StructType
+from pyspark.sql.types import BinaryType, StringType
 
 from .dump import scan_dump
 
@@ -76,49 +73,3 @@ def inflate(frames: pd.Series) -> pd.Series:
 def deflate(texts: pd.Series) -> pd.Series:
     """Texts as zlib frames."""
     return texts.map(lambda t: None if t is None else zlib.compress(t.encode()))
-
-
-class _FrameReader(SimpleDataSourceStreamReader):
-    """Takes what the connection has; after failures it waits ever longer, up to a minute."""
-
-    def __init__(self, connect: Callable[[], Callable[[], list[bytes]]]):
-        self.connect, self.receive, self.wait = connect, None, 1.0
-
-    def initialOffset(self) -> dict:
-        return {"n": 0}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        try:
-            self.receive = self.receive or self.connect()
-            frames, self.wait = self.receive(), 1.0
-        except OSError:
-            time.sleep(self.wait)
-            self.receive, self.wait, frames = None, min(60.0, 2 * self.wait), []
-        n = start["n"]
-        return iter([(n + i, bytes(f)) for i, f in enumerate(frames)]), {"n": n + len(frames)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([])  # a subscription can't be read again
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
-def frame_source(name: str, connect: Callable[[], Callable[[], list[bytes]]]) -> type[DataSource]:
-    """A streaming source of a subscription: ``spark.dataSource.register(frame_source(...))``.
-
-    ``connect`` returns a function that gives the frames that have come; both may raise OSError.
-    """
-
-    class Frames(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return name
-
-        def schema(self) -> str:
-            return "seq bigint, frame binary"
-
-        def simpleStreamReader(self, schema: StructType) -> _FrameReader:
-            return _FrameReader(connect)
-
-    return Frames
