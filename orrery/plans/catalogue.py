@@ -11,7 +11,7 @@ from orrery.functions import scalars as S
 from orrery.operators import heatmap, merge, routing, search, translate
 from orrery.sources import feeds, fixtures, layout, patches
 from orrery.sources.shared import shared_path
-from orrery.streaming import live, stats
+from orrery.streaming import live, runs, stats
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -177,15 +177,16 @@ def merge_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id64, max_by(allegiance, seq) FILTER (WHERE allegiance IS NOT NULL) AS allegiance, coalesce(max_by(population, seq) FILTER (WHERE population > 0), 0) AS population, max_by(security, seq) FILTER (WHERE security IS NOT NULL) AS security FROM ({_SYSTEM_PATCHES}) p GROUP BY id64", head="")
 def stream_merge_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same patches through a stream, in micro-batches of one file each."""
+    """The same patches through a stream, a third of them in each micro-batch, in order of their arrival."""
     root = shared_path(spark, "stream")
     patches = fixtures._view(spark, sf_dir, _SYSTEM_PATCHES)
-    for k in range(3):  # one after another: a stream takes files by age
-        patches.where(F.col("seq") * 3 >= k * 15_000).where((F.lit(k) == 2) | (F.col("seq") * 3 < (k + 1) * 15_000)).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    table = live.VersionedTable(spark, f"{root}/state", ["id64"], merge.SYSTEM_RULES)
-    source = spark.readStream.schema(patches.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    live.merge_stream(source, table, f"{root}/checkpoint", {"availableNow": True}).awaitTermination()
-    return table.read().drop("seq")
+    last = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.max("o_orderkey")).first()[0] or 0
+    table = runs.RunTable(spark, f"{root}/state", ["id64"], merge.SYSTEM_RULES, fan=2)
+    for k in range(3):
+        patches.where((F.col("seq") * 3 > k * last) & (F.col("seq") * 3 <= (k + 1) * last)).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(patches.schema).parquet(f"{root}/in")
+        live.merge_stream(source, table, f"{root}/checkpoint", {"availableNow": True}).awaitTermination()
+    return table.read()
 
 
 @query("SELECT DISTINCT systemId64 FROM patches WHERE subType = 'Neutron Star'")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .shared import opened
+
 CHUNK, SPLIT_BYTES, MAGIC = 1 << 20, 128 << 20, b"\x1f\x8b\x08"
 #: A whole string, a bracket, or the quote of a string whose end isn't there.
 _TOKEN = re.compile(rb'"[^"\\\n]*(?:\\.[^"\\\n]*)*"|[{}\[\]"]')
@@ -143,14 +145,9 @@ class _Range(InputPartition):
     end: int | None = None
 
 
-def _opened(path: str):
-    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return where, name
-
-
 def _files(path: str) -> list[tuple[str, int]]:
     """Path and size of a file, or of all files below a folder whose names don't begin with ``_`` or a dot."""
-    where, name = _opened(path)
+    where, name = opened(path)
     info = where.get_file_info(name)
     prefix = path[: len(path) - len(name)] if path.endswith(name) else ""
     if info.type == fs.FileType.File:
@@ -171,7 +168,7 @@ class _DumpReader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[tuple]:
         if not partition.path:
             return
-        where, name = _opened(partition.path)
+        where, name = opened(partition.path)
         with where.open_input_file(name) as stream:
             zipped = stream.read(len(MAGIC)) == MAGIC
             n = 0

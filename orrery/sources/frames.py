@@ -20,6 +20,8 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from .shared import opened
+
 FLUSH_ROWS, FLUSH_SECONDS, QUEUE_ROWS, LONGEST_WAIT = 200, 1.0, 2000, 60.0
 #: ``connect`` returns a function that gives the frames that have come; both may raise OSError.
 Connect = Callable[[], Callable[[], list[bytes]]]
@@ -29,8 +31,7 @@ class FrameLog:
     """Frames by number, in files named by the first number and the one after the last."""
 
     def __init__(self, path: str):
-        remote = "://" in path or path.startswith("file:")
-        self.where, self.path = fs.FileSystem.from_uri(path) if remote else (fs.LocalFileSystem(), path)
+        self.where, self.path = opened(path)
         self.where.create_dir(self.path, recursive=True)
 
     def _files(self) -> list[tuple[int, int, str]]:

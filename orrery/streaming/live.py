@@ -4,45 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from orrery.operators import heatmap, merge
+from orrery.operators import heatmap
 
-STALE_SECONDS = 21_600
-
-
-class VersionedTable:
-    """A folded table as numbered folders; the newest that was written whole is the state.
-
-    Each batch writes state and batch folded into its own folder, so a batch that runs again after a
-    failure overwrites itself and reads the version before it.
-    """
+from .runs import RunTable
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], rules: dict[str, merge.Rule]):
-        self.spark, self.path, self.keys, self.rules = spark, path, keys, rules
-
-    def _versions(self, below: int | None = None) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(v for v in found if below is None or v < below)
-
-    def read(self, below: int | None = None) -> DataFrame | None:
-        found = self._versions(below)
-        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
-
-    def apply(self, batch: DataFrame, version: int) -> None:
-        folded = merge.upsert(self.read(version), batch, self.keys, self.rules)
-        folded.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+STALE_SECONDS = 21_600
 
 
-def merge_stream(patches: DataFrame, table: VersionedTable, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Fold a stream of patches (with ``seq``) into ``table``, a version a micro-batch."""
+def merge_stream(patches: DataFrame, table: RunTable, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Fold a stream of patches (with ``seq``) into ``table``, a run a micro-batch."""
     writer = patches.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"}))
     return writer.foreachBatch(lambda batch, n: table.apply(batch, n)).start()
 
