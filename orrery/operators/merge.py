@@ -91,6 +91,11 @@ def neutron_systems(patches: DataFrame) -> DataFrame:
     return patches.where((F.col("subType") == "Neutron Star") & F.col("systemId64").isNotNull()).select("systemId64").distinct()
 
 
+def backfilled(target: DataFrame, source: DataFrame) -> DataFrame:
+    """``target``, or the rows of ``source`` where it is empty: the gate is one row, so the source isn't read otherwise."""
+    return target.unionByName(source.select(*target.columns).join(F.broadcast(target.select(F.lit(True).alias("_any")).limit(1)), F.lit(True), "left_anti"))
+
+
 def prison_systems(stations: DataFrame, systems: DataFrame | None = None) -> DataFrame:
     """Systems whose own government, or that of a station, holds ``rison``."""
     found = stations.where(F.lower("government").contains("rison")).select("systemId64")

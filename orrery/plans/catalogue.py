@@ -98,6 +98,13 @@ def system_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.render_bodies(search.system_rows(bodies(spark, sf_dir), 7)).select("bodyId", "name", "subType", "isLandable", "terraformingState", "distanceToArrival")
 
 
+@query("SELECT bodyId, json_extract_string(rings, '$[0].type') AS ring, json_extract_string(signals, '$[0].type') AS signal, rings IS NOT NULL AS known FROM bodies WHERE systemId64 IN (7, 8, 10)")
+def system_bodies_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON texts as values that can be looked into."""
+    rows = search.render_bodies(bodies(spark, sf_dir).where("systemId64 in (7, 8, 10)"))
+    return rows.select("bodyId", F.try_variant_get("rings", "$[0].type", "string").alias("ring"), F.try_variant_get("signals", "$[0].type", "string").alias("signal"), F.col("rings").isNotNull().alias("known"))
+
+
 @query("SELECT id, systemId64, type, allegiance, government, economy, latitude, landingPads, distanceToArrival FROM stations WHERE systemId64 = 7")
 def system_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.system_rows(fixtures.stations(spark, sf_dir), 7)
@@ -194,6 +201,15 @@ def neutron_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.neutron_systems(fixtures.body_patches(spark, sf_dir))
 
 
+@query("SELECT 'empty' AS before, systemId64 FROM (SELECT DISTINCT systemId64 FROM patches WHERE subType = 'Neutron Star') UNION ALL SELECT 'filled', id64 FROM systems WHERE id64 % 7 = 0")
+def backfill_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived table is filled from its source only where it is empty."""
+    stars = merge.neutron_systems(fixtures.body_patches(spark, sf_dir))
+    some = fixtures.systems(spark, sf_dir).where("id64 % 7 = 0").select(F.col("id64").alias("systemId64"))
+    before = lambda name, df: df.select(F.lit(name).alias("before"), "systemId64")
+    return before("empty", merge.backfilled(some.where("systemId64 < 0"), stars)).union(before("filled", merge.backfilled(some, stars)))
+
+
 @query("SELECT systemId64 FROM stations WHERE lower(government) LIKE '%rison%' UNION SELECT id64 FROM systems WHERE lower(government) LIKE '%rison%'")
 def prison_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.prison_systems(fixtures.stations(spark, sf_dir), fixtures.systems(spark, sf_dir))
@@ -443,6 +459,29 @@ def heat_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heat(spark, sf_dir).select("gx", "gz", heatmap.decayed(F.col("n"), 12).alias("n"))
 
 
+_TIMED = "SELECT x/64 AS x, z/64 AS z, CAST(event_id % 5 AS INTEGER) AS tick FROM ({0}) p"
+_STATE_CELL = "CAST(floor((x+50000)/CAST(100000 AS DOUBLE)*1024) AS INTEGER) AS gx, CAST(floor((z+25000)/CAST(100000 AS DOUBLE)*1024) AS INTEGER) AS gz"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT {_STATE_CELL}, tick, count(*) AS c FROM ({_TIMED.format(_POINTS)}) GROUP BY ALL), k AS (SELECT DISTINCT gx, gz FROM c),
+h(gx, gz, tick, n) AS (SELECT gx, gz, -1, CAST(0 AS BIGINT) FROM k UNION ALL SELECT h.gx, h.gz, h.tick + 1, CAST(floor(h.n*CAST(0.9928057 AS DOUBLE)) AS BIGINT) + coalesce((SELECT max(c.c) FROM c WHERE c.gx = h.gx AND c.gz = h.gz AND c.tick = h.tick + 1), 0) FROM h WHERE h.tick < 9)
+SELECT gx, gz, n FROM h WHERE tick = 9 AND n > 0""", head="")
+def heat_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as keyed state of a stream, a batch a tick, and what they have come down to at tick 9."""
+    root, setting = shared_path(spark, "heat"), "spark.sql.streaming.stateStore.providerClass"
+    points, before = fixtures._view(spark, sf_dir, _TIMED.format(_POINTS)), spark.conf.get(setting, None)
+    table = runs.RunTable(spark, f"{root}/cells", ["gx", "gz"], {})
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for tick in range(5):
+            points.where(F.col("tick") == tick).write.mode("append").parquet(f"{root}/in")
+            source = spark.readStream.schema(points.schema).parquet(f"{root}/in")
+            live.heat_stream(source, table, f"{root}/checkpoint", F.col("tick"), {"availableNow": True}, seconds=0).awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+    return live.heat_now(table.read(), 9)
+
+
 _INTENSITY = f"SELECT gx, gz, n, ln(n+CAST(1 AS DOUBLE))/greatest(ln((SELECT max(n) FROM ({_BINS}))+CAST(1 AS DOUBLE)),1) AS t FROM ({_BINS})"
 
 
@@ -492,13 +531,13 @@ def token_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCHEMA = "https://x/journal/"
 _MESSAGE = """SELECT o_orderkey AS seq, concat('{"$schemaRef":"https://x/journal/1","message":{"event":"', CASE o_orderkey % 4 WHEN 0 THEN 'FSDJump' WHEN 1 THEN 'Scan' WHEN 2 THEN 'Docked' ELSE 'Music' END,
  '","SystemAddress":', o_custkey, ',"StarSystem":"S', o_custkey, '","StarPos":[', o_custkey % 100, ',0.5,', o_orderkey % 50, '],"BodyID":', o_orderkey % 7, ',"BodyName":"B","StarType":"N","SurfacePressure":', o_orderkey,
- ',"OrbitalPeriod":', o_orderkey, ',"Radius":', o_orderkey, ',"MarketID":', o_orderkey, ',"StationName":"T","StationServices":["Market","Dock","Missions"]}}') AS json FROM orders"""
+ ',"OrbitalPeriod":', o_orderkey, ',"Radius":', o_orderkey, ',"SemiMajorAxis":', o_orderkey, ',"RotationPeriod":-', o_orderkey, ',"SurfaceGravity":', o_orderkey, '.5,"MarketID":', o_orderkey, ',"StationName":"T","StationServices":["Market","Dock","Missions"]}}') AS json FROM orders"""
 
 
-@query("SELECT o_custkey AS \"systemId64\", CAST(o_orderkey % 7 AS BIGINT) AS \"bodyId\", 'Neutron Star' AS \"subType\", o_orderkey/CAST(101325 AS DOUBLE) AS \"surfacePressure\", o_orderkey/CAST(86400 AS DOUBLE) AS \"orbitalPeriod\", o_orderkey/CAST(695700000 AS DOUBLE) AS \"solarRadius\", o_orderkey/CAST(1000 AS DOUBLE) AS radius FROM orders WHERE o_orderkey % 4 = 1", head="")
+@query("SELECT o_custkey AS \"systemId64\", CAST(o_orderkey % 7 AS BIGINT) AS \"bodyId\", 'Neutron Star' AS \"subType\", o_orderkey/CAST(101325 AS DOUBLE) AS \"surfacePressure\", o_orderkey/CAST(86400 AS DOUBLE) AS \"orbitalPeriod\", o_orderkey/CAST(695700000 AS DOUBLE) AS \"solarRadius\", o_orderkey/CAST(1000 AS DOUBLE) AS radius, o_orderkey/CAST(149597870700 AS DOUBLE) AS \"semiMajorAxis\", -o_orderkey/CAST(86400 AS DOUBLE) AS \"rotationalPeriod\", (o_orderkey+CAST(0.5 AS DOUBLE))/CAST(9.80665 AS DOUBLE) AS gravity FROM orders WHERE o_orderkey % 4 = 1", head="")
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = translate.bodies(translate.messages(fixtures._view(spark, sf_dir, _MESSAGE), schema=_SCHEMA))
-    return found.select("systemId64", "bodyId", "subType", "surfacePressure", "orbitalPeriod", "solarRadius", "radius")
+    return found.select("systemId64", "bodyId", "subType", "surfacePressure", "orbitalPeriod", "solarRadius", "radius", "semiMajorAxis", "rotationalPeriod", "gravity")
 
 
 @query("SELECT o_custkey AS \"systemId64\", o_orderkey AS id, CAST(1 AS INTEGER) AS \"haveMarket\", CAST(0 AS INTEGER) AS \"haveShipyard\", CAST(0 AS INTEGER) AS \"haveOutfitting\", '[\"Missions\"]' AS \"otherServices\" FROM orders WHERE o_orderkey % 4 = 2", head="")

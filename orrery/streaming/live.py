@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from orrery.operators import heatmap
 
@@ -38,15 +39,82 @@ def heat_over_time(points: DataFrame, tick: Column, now: int) -> DataFrame:
     return cells.select("gx", "gz", done.alias("n")).where("n > 0")
 
 
-def heat_stream(points: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Counts by cell and tick of ``ts`` (a timestamp), appended; ``heat_over_time`` folds them when asked."""
+class HeatCell(StatefulProcessor):
+    """Count of one cell and the tick it stands at; between ticks it decays, and a cell that has come to nothing is forgotten.
+
+    Rows have ``tick``, the number of the period in which a point came.  A timer rings once a period of processing time and brings
+    the count down, so that cells without new points are dropped as well; ``seconds`` is the period, 0 for no timers.
+    """
+
+    def __init__(self, seconds: int = heatmap.TICK_SECONDS):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("heat", "n bigint, tick bigint")
+
+    def _later(self, n: int, ticks: int) -> int:
+        while n and ticks > 0:
+            n, ticks = int(n * heatmap.DECAY), ticks - 1
+        return n
+
+    def _kept(self, key: tuple, n: int, tick: int) -> Row:
+        if n:
+            self.state.update((n, tick))
+        else:
+            self.state.clear()
+        return Row(gx=key[0], gz=key[1], n=n, tick=tick)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        n, tick = self.state.get() if self.state.exists() else (0, None)
+        if tick is None and self.seconds:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.seconds)
+        came: dict[int, int] = {}
+        for r in rows:  # as many entries as a batch has periods
+            came[r.tick] = came.get(r.tick, 0) + 1
+        for t in sorted(came):
+            at = t if tick is None else max(t, tick)  # what comes late counts when it comes
+            n, tick = self._later(n, at - (at if tick is None else tick)) + came[t], at
+        yield self._kept(key, n, tick)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if self.state.exists():
+            n, tick = self.state.get()
+            row = self._kept(key, self._later(n, 1), tick + 1)
+            if row.n:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.seconds)
+            yield row
+
+    def close(self) -> None:
+        pass
+
+
+def heat_states(points: DataFrame, tick: Column, seconds: int = heatmap.TICK_SECONDS) -> DataFrame:
+    """A stream of gx, gz, n, tick: the count of each cell whenever it changes, 0 when it is forgotten.
+
+    The state of a cell is two numbers in the state store (which has to be RocksDB's), whatever has come.  A cell that isn't
+    told of since tick t stands at n brought down by the ticks since.
+    """
     inside, gx, gz = heatmap.cell(F.col("x"), F.col("z"))
-    rows = points.where(inside).select(gx.alias("gx"), gz.alias("gz"), F.floor(F.col("ts").cast("timestamp").cast("double") / heatmap.TICK_SECONDS).cast("int").alias("tick"))
+    rows = points.where(inside).select(gx.alias("gx"), gz.alias("gz"), tick.cast("bigint").alias("tick"))
+    return rows.groupBy("gx", "gz").transformWithState(HeatCell(seconds), "gx int, gz int, n bigint, tick bigint", "Update", "ProcessingTime" if seconds else "None")
+
+
+def heat_stream(points: DataFrame, table: RunTable, checkpoint: str, tick: Column, trigger: dict | None = None, seconds: int = heatmap.TICK_SECONDS) -> StreamingQuery:
+    """Keep the latest count of each cell in ``table`` (keys gx, gz); ``heat_now`` reads it."""
 
     def add(batch: DataFrame, n: int) -> None:
-        batch.groupBy("gx", "gz", "tick").count().write.mode("overwrite").parquet(f"{table_path}/batch={n}")
+        table.apply(batch.withColumn("seq", F.col("tick")), n)
+
+    writer = heat_states(points, tick, seconds).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).foreachBatch(add).start()
+
 
-    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).foreachBatch(add).start()
+def heat_now(cells: DataFrame, now: int) -> DataFrame:
+    """gx, gz, n at tick ``now`` from the latest counts; empty cells are left out."""
+    ticks = F.greatest(F.lit(now) - F.col("tick"), F.lit(0)).cast("int")
+    down = F.aggregate(F.when(ticks > 0, F.sequence(F.lit(1), F.greatest(ticks, F.lit(1)))).otherwise(F.array().cast("array<int>")), F.col("n"), lambda a, _: F.floor(a * F.lit(heatmap.DECAY)))
+    return cells.select("gx", "gz", down.alias("n")).where("n > 0")
 
 
 def ingest_stats(frames: DataFrame, text: str, parsed: Column, handled: Column) -> DataFrame:

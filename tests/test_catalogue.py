@@ -121,11 +121,40 @@ def test_heat(spark):
     assert [tuple(r) for r in heatmap.bins(pts).collect()] == [(0, 256, 1)]
     cells = spark.createDataFrame([(1,), (100,), (138,), (139,)], "n bigint")
     assert [r[0] for r in cells.select(heatmap.decayed(F.col("n"), 1)).collect()] == [0, 99, 137, 137]
-    assert heatmap.png(heatmap.bins(pts))[:4] == b"\x89PNG"
     timed = spark.createDataFrame([(0.0, 0.0, 0)] * 200 + [(0.0, 0.0, 2)] * 5, "x double, z double, tick int")
     assert live.heat_over_time(timed, F.col("tick"), 3).first().n == int(int(int(int(200 * 0.9928057) * 0.9928057) + 5) * 0.9928057)
 
 
+def test_picture(spark):
+    """Decoded, the picture has the colour of each cell at its place and nothing elsewhere."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    cells = [(0, 0, 1), (1023, 1023, 9), (5, 700, 400), (6, 700, 400)]
+    grid = spark.createDataFrame(cells, "gx int, gz int, n bigint")
+    raw, at, parts = heatmap.png(grid), 8, {}
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n"
+    while at < len(raw):
+        n, kind = struct.unpack(">I4s", raw[at : at + 8])
+        parts[kind] = raw[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", raw[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + parts[kind])
+        at += n + 12
+    assert struct.unpack(">2I5B", parts[b"IHDR"]) == (1024, 1024, 8, 6, 0, 0, 0)
+    image = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(1024, 1 + 4096)
+    assert not image[:, 0].any()
+    image = image[:, 1:].reshape(1024, 1024, 4).copy()
+    for gx, gz, n in cells:
+        t = math.log(n + 1) / math.log(401)
+        piece = min(int(t * 8), 7)
+        low, high, f = heatmap.STOPS[piece], heatmap.STOPS[piece + 1], t * 8 - piece
+        want = [int(a + (b - a) * f) for a, b in zip(low, high, strict=True)] + [int(60 + 195 * t)]
+        assert np.abs(image[1023 - gz, gx].astype(int) - want).max() <= 1
+        image[1023 - gz, gx] = 0
+    assert not image.any()
+
+
 def test_entry(spark):
     import __spark_entry__
 
