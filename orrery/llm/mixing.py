@@ -11,13 +11,12 @@ Only (source, length) counts meet in one task.  Ranks are taken within (source,
 salt being the leading bits of the hash, so a length that a third of all rows share is split.
 
 Nulls: a null source is a source, the last; a null text has length 0 and takes nothing; a null
-doc_id is ranked like any other.  Repeated rows are separate documents.  Empty tables give no rows.
+doc_id is ranked like any other.  Repeated rows are separate documents.  Ties in the hash go by doc_id.  Empty tables give no
+rows.  A text of any length is one document, taken whole.  Other columns pass unchanged; ``mix`` replaces one of that name.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Shield, settled
 
 WEIGHTS, MAX_COPIES, SEED, SALTS = (5, 2, 1), 3, 17, 64
-#: Budgets up to this many words are fitted exactly; above it whole lengths are taken, largest first.
+#: Budgets up to this many words are fitted exactly; above it whole lengths are taken, largest first, until no more is left.
 EXACT_WORDS = 1 << 17
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,6 +92,13 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             k = min(counts[i] - take[i], (left - EXACT_WORDS // 2) // lengths[i])
             take[i] += max(0, k)
             left -= max(0, k) * lengths[i]
+    # texts so long that none left room for the exact fit: the longest that still fits, until the rest can be fitted or none does
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if left > EXACT_WORDS and lengths[i]:
+            k = min(counts[i] - take[i], left // lengths[i])
+            take[i] += k
+            left -= k * lengths[i]
+    # beyond EXACT_WORDS nothing that is left fits
     left = min(left, EXACT_WORDS)
     more = knapsack(lengths, [c - t if n else 0 for n, c, t in zip(lengths, counts, take, strict=True)], left)
     found = [t + m for t, m in zip(take, more, strict=True)]

@@ -8,7 +8,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from orrery.llm import audit, quality, variants
+from orrery.llm import audit, mixing, quality, variants
 from orrery.llm.queries import QUERIES
 
 
@@ -205,3 +205,20 @@ def test_variants_very_long_run(spark):
     got = {r.word: (r.form, r.n_near) for r in variants.variants(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     a, b, c, d = words
     assert got == {a: (b, 2), b: (None, 1), c: (None, 2), d: (None, 1)}
+
+
+# ------------------------------------------------------------------ mixing of long documents
+def test_fit_of_long_documents():
+    lengths = list(range(150_001, 150_011))
+    take = mixing.fit(lengths, [1] * 10, 750_100)
+    assert 750_015 <= sum(n * t for n, t in zip(lengths, take, strict=True)) <= 750_100
+    rng = random.Random(8)
+    for _ in range(40):
+        lengths = sorted(rng.sample(range(1, 900_000), 9))
+        counts = [rng.randrange(1, 3) for _ in lengths]
+        budget = rng.randrange(1, sum(n * c for n, c in zip(lengths, counts, strict=True)))
+        take = mixing.fit(lengths, counts, budget)
+        total = sum(n * t for n, t in zip(lengths, take, strict=True))
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True)) and total <= budget
+        # no document that was left out fits any more
+        assert not any(t < c and n <= budget - total for n, t, c in zip(lengths, take, counts, strict=True))
