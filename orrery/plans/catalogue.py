@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
-from orrery.operators import heatmap, merge, routing, search, translate
+from orrery.operators import cube_filter, heatmap, merge, routing, search, translate
 from orrery.sources import feeds, fixtures, layout, patches
 from orrery.sources.shared import shared_path
 from orrery.streaming import live, runs, stats
@@ -87,6 +87,40 @@ _filtered("cube_signals", "bio", "signals ILIKE '%Biological%'")
 _filtered("cube_white_dwarfs", "white dwarf", "subType ILIKE 'White Dwarf%'")
 
 
+#: Every phrase of the grammar, and every body type that it knows of with one that it doesn't.
+_PHRASES = (
+    [*cube_filter.PLANETS, *cube_filter.STARS, "white dwarf", "wolf-rayet", *(f"white dwarf {c}" for c in cube_filter.WHITE_DWARFS), *(f"wolf-rayet {c}" for c in cube_filter.WOLF_RAYETS)]
+    + ["terraformable", "bio", "geological", "landable", "ring", *cube_filter.RINGS]
+)
+_TYPES = sorted({*cube_filter.PLANETS.values(), *(n for names in cube_filter.STARS.values() for n in names), *(f"White Dwarf ({c.upper()}) Star" for c in cube_filter.WHITE_DWARFS), *(f"Wolf-Rayet {c.upper()} Star" for c in cube_filter.WOLF_RAYETS), "White Dwarf Remnant", "Asteroid"})
+_SHOWN = """SELECT o_orderkey AS id, o_custkey AS systemId64, CAST(o_orderkey % 2 AS INTEGER) AS isLandable, CASE o_orderkey % 4 WHEN 0 THEN 'Terraformable' WHEN 1 THEN 'Terraforming completed' WHEN 2 THEN 'Not terraformable' END AS terraformingState,
+ CASE o_orderkey % 3 WHEN 0 THEN '[{"type":"biological"}]' WHEN 1 THEN '[{"type":"Geological"},{"type":"Biological"}]' END AS signals,
+ CASE o_orderkey % 7 WHEN 0 THEN '[{"type":"Icy"}]' WHEN 1 THEN '[{"type":"Metallic"}]' WHEN 2 THEN '[{"type":"Metal Rich"}]' WHEN 3 THEN '[{"type":"rocky"}]' WHEN 4 THEN '[]' WHEN 5 THEN '[{"type":"Rocky"},{"type":"Icy"}]' END AS rings FROM orders"""
+
+
+@query(f"""WITH b AS (SELECT *, (ARRAY[{", ".join(f"'{t}'" for t in _TYPES)}])[1 + id % {len(_TYPES)}] AS t FROM ({_SHOWN})), p AS (SELECT unnest(ARRAY[{", ".join(f"'{x}'" for x in _PHRASES)}]) AS phrase),
+m AS (SELECT phrase, systemId64 AS s, coalesce(CASE
+ WHEN phrase IN ('earth-like', 'high metal content') THEN lower(t) = phrase || ' world'
+ WHEN phrase LIKE '%-based life giant' THEN t = 'Gas giant with ' || split_part(phrase, ' ', 1) || ' life'
+ WHEN phrase IN ('white dwarf', 'wolf-rayet') THEN starts_with(lower(t), phrase)
+ WHEN phrase LIKE 'white dwarf %' THEN lower(t) = 'white dwarf (' || substr(phrase, 13) || ') star'
+ WHEN phrase LIKE 'wolf-rayet %' THEN lower(t) = phrase || ' star'
+ WHEN phrase IN ('t tauri', 'herbig') THEN starts_with(lower(t), phrase)
+ WHEN phrase = 'ms star type' THEN t IN ('MS-type Star', 'S-type Star')
+ WHEN phrase = 's star type' THEN t = 'S-type Star'
+ WHEN phrase LIKE '% star type' THEN lower(t) = split_part(phrase, ' ', 1) || ' star'
+ WHEN phrase LIKE '_ star' OR phrase LIKE '_ dwarf' THEN starts_with(lower(t), left(phrase, 1) || ' (')
+ WHEN phrase = 'terraformable' THEN terraformingState LIKE 'Terraform%' WHEN phrase = 'bio' THEN signals ILIKE '%biological%' WHEN phrase = 'geological' THEN signals ILIKE '%geological%' WHEN phrase = 'landable' THEN isLandable = 1
+ WHEN phrase = 'ring' THEN rings <> '[]' WHEN phrase LIKE '% ring' THEN rings ILIKE '%"' || left(phrase, length(phrase) - 5) || '%'
+ ELSE lower(t) = phrase END, false) AS ok FROM b, p)
+SELECT phrase, count(*) FILTER (WHERE ok) AS n, count(DISTINCT CASE WHEN ok THEN s END) AS systems FROM m GROUP BY phrase""", head="")
+def cube_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each phrase of the filter grammar finds, all in one pass over the bodies."""
+    rows = fixtures._view(spark, sf_dir, _SHOWN).withColumn("subType", F.get(F.array(*map(F.lit, _TYPES)), (F.col("id") % len(_TYPES)).cast("int")))
+    found = F.array_compact(F.array(*[F.when(cube_filter.parse(p).bodies(), F.lit(p)) for p in _PHRASES]))
+    return rows.select("systemId64", F.explode(found).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("systemId64").alias("systems"))
+
+
 # ------------------------------------------------------------------ look-ups
 @query("SELECT id64, name, x, y, z, population, allegiance, government FROM systems WHERE name = 'Customer#000000007'")
 def system_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,6 +387,12 @@ def neutron_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.waypoints_to(ends, (0.0, 0.0, 0.0))
 
 
+@query(ORACLE_SQL["carrier_fuel"].replace("25000", "60000").replace("28100", "63100"), head="")
+def carrier_fuel_squadron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heavier carriers."""
+    return routing.fuel_steps(fixtures._view(spark, sf_dir, _HOPS), tank=1000, market=2000, cargo=100, squadron=True)
+
+
 def _neutron_sql(scale: int, jump: int) -> str:
     """g: the greedy route with its stops, over systems at ``scale`` times the spacing.  The capsules are wider than the catalogue."""
     far = lambda p, q: "sqrt(" + "+".join(f"({p}{c}-{q}{c})*({p}{c}-{q}{c})" for c in "xyz") + ")"

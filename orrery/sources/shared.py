@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of the warehouse where it is unset."""
+    """``spark.checkpoint.dir``, or a folder of the warehouse where it is unset, as in tests on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orrery-shared").rstrip("/")
 
