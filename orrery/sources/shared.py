@@ -9,9 +9,17 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of the warehouse where it is unset, as in tests on one machine."""
+    """``spark.checkpoint.dir``, or a folder of the warehouse where it is unset, as in tests.
+
+    On a cluster a warehouse on the machine's own disk isn't shared, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orrery-shared").rstrip("/")
+    if not found:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all nodes share")
+        found = f"{warehouse}/orrery-shared"
+    return found.rstrip("/")
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
