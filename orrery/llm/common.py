@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from orrery.sources.shared import shared_dir as shared_dir
+from orrery.sources.shared import shared_path as shared_path
+
 #: Bounds of what an operator works on at once: rows and bytes (a longer text stands alone).
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: Bits of a filter of ``marked``: at most 16 MB are broadcast, whatever the table's size.
@@ -20,16 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes see: ``spark.checkpoint.dir``, or one in the warehouse where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orrery-shared"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def settled(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
     path = shared_path(df.sparkSession, name)

@@ -23,7 +23,7 @@ def texts(spark, sf):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cursor = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in cursor.description]
