@@ -638,7 +638,7 @@ def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DUMP = """SELECT c_custkey AS seq, concat('{"id64":', CASE WHEN c_custkey % 17 = 0 THEN 'null' ELSE CAST(c_custkey AS VARCHAR(20)) END, ',"name":"', c_name, '","population":', c_custkey % 5, ',"coords":{"x":', c_custkey % 100, '.5,"y":0.25,"z":-', c_custkey % 7,
  '},"government":"', CASE WHEN c_custkey % 16 = 1 THEN 'Prison Colony' ELSE 'Feudal' END, '","controllingFaction":{"name":"F', c_nationkey, '"},"bodies":[{"bodyId":', CASE WHEN c_custkey % 5 = 0 THEN '"7"' ELSE CAST(c_custkey % 9 AS VARCHAR(20)) END, ',"subType":"Neutron Star","isLandable":', CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '1' END,
  ',"surfaceTemperature":', c_custkey % 1000, CASE WHEN c_custkey % 2 = 0 THEN '.75' ELSE '' END, ',"solarMasses":', CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE '1.5' END, ',"stellarMass":2.5,"wasMapped":', CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN '4' ELSE '"x"' END,
- ',"age":', CASE WHEN c_custkey % 2 = 0 THEN '12' ELSE '12.5' END, ',"axialTilt":0.125,"signals":', CASE WHEN c_custkey % 6 = 0 THEN 'null' ELSE '[{"n":1}]' END, '}],"stations":[{"id":', c_custkey, ',"name":"T","government":"', CASE WHEN c_custkey % 8 = 0 THEN 'PRISON' ELSE 'Other' END,
+ ',"id64":', c_custkey * 3, CASE c_custkey % 3 WHEN 0 THEN ',"solidComposition":null' WHEN 1 THEN ',"solidComposition":{"Ice":1}' ELSE '' END, ',"composition":{"Rock":2},"mainStar":', CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN '0' ELSE 'null' END, ',"age":', CASE WHEN c_custkey % 2 = 0 THEN '12' ELSE '12.5' END, ',"axialTilt":0.125,"signals":', CASE WHEN c_custkey % 6 = 0 THEN 'null' ELSE '[{"n":1}]' END, '}],"stations":[{"id":', c_custkey, ',"name":"T","government":"', CASE WHEN c_custkey % 8 = 0 THEN 'PRISON' ELSE 'Other' END,
  '","primaryEconomy":"Refinery","services":["Shipyard","Dock","Missions",3,"Autodock"],"landingPads":{"Large":', c_custkey % 3, '}}]}') AS json FROM customer"""
 
 
@@ -661,6 +661,12 @@ def dump_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.fold(found, ["systemId64", "bodyId"], {"isLandable": merge.last_given})
 
 
+@query("""SELECT c_custkey AS "systemId64", CAST(c_custkey * 3 AS BIGINT) AS "bodyId64", CASE c_custkey % 3 WHEN 1 THEN '{"Ice":1}' WHEN 2 THEN '{"Rock":2}' END AS composition, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS "mainStar" FROM customer WHERE c_custkey % 17 <> 0""", head="")
+def dump_body_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A solid composition goes before the plain one, even where it is null."""
+    return patches.bodies(_documents(spark, sf_dir)).select("systemId64", "bodyId64", "composition", "mainStar")
+
+
 @query("""SELECT c_custkey AS "systemId64", c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN 'PRISON' ELSE 'Other' END AS government, 'Refinery' AS economy, 0 AS "haveMarket", 1 AS "haveShipyard", '["Missions"]' AS "otherServices", concat('{"Large":', c_custkey % 3, '}') AS "landingPads" FROM customer WHERE c_custkey % 17 <> 0""", head="")
 def dump_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patches.stations(_documents(spark, sf_dir)).select("systemId64", "id", "government", "economy", "haveMarket", "haveShipyard", "otherServices", "landingPads")
@@ -744,6 +750,29 @@ def localised_or_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate.systems(translate.messages(fixtures._view(spark, sf_dir, _JUMPS), schema=_SCHEMA)).select("seq", "government")
 
 
+_TOLD = """SELECT o_orderkey AS seq, concat('{"$schemaRef":"https://x/journal/1","message":{"event":"', CASE WHEN o_orderkey % 2 = 0 THEN 'CarrierJump' ELSE 'Docked' END, '","SystemAddress":', o_custkey, ',"StarSystem":"S","MarketID":', o_orderkey, ',"StationName":"T","SystemAllegiance":"', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Empire' END,
+ '","Population":', o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '.5' ELSE '' END, ',"SystemEconomy":"$economy_Refinery;","SystemSecondEconomy_Localised":"Tourism","SystemSecurity":', CASE WHEN o_orderkey % 3 = 0 THEN '7' ELSE '"$SYSTEM_SECURITY_high;"' END, ',"SystemFaction":{"Name":"F', o_custkey % 9, '"},"Factions":', CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE '[1,{"a":2}]' END,
+ ',"PowerplayState":"Fortified","ControllingPower":"P","PowerplayStateControlProgress":0.25,"PowerplayStateReinforcement":', o_orderkey, ',"Powers":["P"],"ThargoidWar":{"n":1},"timestamp":"t', o_orderkey, '","StationType":"Coriolis","DistFromStarLS":', o_orderkey, '.5,"StationAllegiance":"', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Empire' END,
+ '","StationGovernment":"$government_Prison;","StationEconomy":"$economy_X_Y;","StationEconomy_Localised":"Xy","StationFaction":{"Name":"N"', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',"FactionState":"Boom"' END, '},"LandingPads":{"Large":', o_orderkey % 4, '},"StationEconomies":', CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '[{"Proportion":1}]' END, '}}') AS json FROM orders"""
+
+
+@query("""SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 <> 0 THEN 'Empire' END AS allegiance, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS population, 'Refinery' AS "primaryEconomy", 'Tourism' AS "secondaryEconomy", CASE WHEN o_orderkey % 3 <> 0 THEN 'SECURITY_high' END AS security,
+ concat('{"Name":"F', o_custkey % 9, '"}') AS "controllingFaction", CASE WHEN o_orderkey % 4 <> 0 THEN '[1,{"a":2}]' END AS factions, 'Fortified' AS "powerState", 'P' AS "controllingPower", CAST(0.25 AS DOUBLE) AS "powerStateControlProgress", CAST(o_orderkey AS DOUBLE) AS "powerStateReinforcement",
+ CAST(NULL AS DOUBLE) AS "powerStateUndermining", '["P"]' AS powers, '{"n":1}' AS "thargoidWar", concat('t', o_orderkey) AS date FROM orders WHERE o_orderkey % 2 = 0""", head="")
+def jump_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a jump says of its system beside its place."""
+    found = translate.systems(translate.messages(fixtures._view(spark, sf_dir, _TOLD), schema=_SCHEMA)).where("powerState is not null")
+    return found.select("seq", "allegiance", "population", "primaryEconomy", "secondaryEconomy", "security", "controllingFaction", "factions", "powerState", "controllingPower", "powerStateControlProgress", "powerStateReinforcement", "powerStateUndermining", "powers", "thargoidWar", "date")
+
+
+@query("""SELECT o_orderkey AS id, o_orderkey AS "marketId", 'T' AS name, 'Coriolis' AS type, o_orderkey + CAST(0.5 AS DOUBLE) AS "distanceToArrival", CASE WHEN o_orderkey % 3 <> 0 THEN 'Empire' END AS allegiance, 'Prison' AS government, 'Xy' AS economy, 'N' AS "controllingFaction",
+ CASE WHEN o_orderkey % 3 <> 0 THEN 'Boom' END AS "controllingFactionState", concat('{"Large":', o_orderkey % 4, '}') AS "landingPads", CASE WHEN o_orderkey % 5 <> 0 THEN '[{"Proportion":1}]' END AS economies, concat('t', o_orderkey) AS "updateTime" FROM orders WHERE o_orderkey % 2 <> 0""", head="")
+def docked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a docking says of its station beside the services."""
+    found = translate.stations(translate.messages(fixtures._view(spark, sf_dir, _TOLD), schema=_SCHEMA))
+    return found.select("id", "marketId", "name", "type", "distanceToArrival", "allegiance", "government", "economy", "controllingFaction", "controllingFactionState", "landingPads", "economies", "updateTime")
+
+
 _PLACES = "SELECT o_custkey % 50 AS id64, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS DOUBLE) END AS x, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey AS DOUBLE) END AS y, CAST(o_orderkey AS DOUBLE) AS z, o_orderkey AS seq FROM orders"
 
 
