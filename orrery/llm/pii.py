@@ -5,12 +5,13 @@ numpy adds forms that the patterns miss, such as national phone numbers and shor
 trained from labelled spans: seeded sentences whose spans are known by construction, with dates,
 prices and reference numbers among them that are none.
 
-A text is tagged in windows of ``WINDOW`` characters that overlap by half.  Each window is decoded as
-a whole by Viterbi, then a character takes its tag from the window in whose middle it stands, and
-spans are read off the whole text, so they may run over any number of windows.  Every kind holds a
-digit or ``@``; a window is tagged only if it or a neighbour has one in its middle (any further from
+A text is tagged in windows of ``WINDOW`` characters that overlap by half.  The emissions of all windows
+that hold a character are averaged, by its distance from their edges, and a run of windows that touch is
+decoded by one Viterbi over the whole run, so spans run over any number of windows and no window's edge decides.
+Every kind holds a digit or ``@``; a window is tagged only if it or a neighbour has one in its middle (any further from
 them can't be part of a span, whose characters stand within half a window of one).  A span
-that the tagger adds must not overlap a pattern's, and must pass its kind's plain rules.
+that the tagger adds must not overlap a pattern's, and must pass its kind's plain rules.  Very long texts are
+read whole: what is held of a text is some 100 bytes a character near digits and ``@``.
 
 Nulls: a null text is empty and holds nothing.  Repeated rows are treated alike; an empty table gives
 no rows; other columns pass unchanged.  Offsets are code points, ends exclusive.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -207,20 +209,25 @@ class Tagger:
             keep |= {"x": x, "hidden": hidden, "logs": logs}
         return hidden @ self.p["out"] + self.p["out_b"]
 
-    def decode(self, symbols: np.ndarray) -> np.ndarray:
-        """Best tags of each window (batch x time)."""
-        em = self.emissions(symbols)
-        t, n, _ = em.shape
-        best, back = em[0], np.empty((t, n, TAGS), np.int8)
-        for k in range(1, t):
-            s = best[:, :, None] + self.p["trans"][None]
-            back[k] = s.argmax(1)
-            best = s.max(1) + em[k]
-        out = np.empty((t, n), np.int64)
-        out[-1] = best.argmax(1)
-        for k in range(t - 1, 0, -1):
-            out[k - 1] = back[k][np.arange(n), out[k]]
-        return out.T
+    def decode(self, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best tags of runs of positions, which stand one after the other in ``em`` (positions x TAGS); each run is decoded as a whole."""
+        start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        order = np.argsort(-lengths, kind="stable")
+        start, lengths = start[order], lengths[order]
+        going = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # runs longer than t, the first ones
+        best, back = em[start], np.zeros(em.shape, np.int8)
+        for t in range(1, int(lengths[0])):
+            m = going[t]
+            s = best[:m, :, None] + self.p["trans"][None]
+            back[start[:m] + t] = s.argmax(1)
+            best[:m] = s.max(1) + em[start[:m] + t]
+        out, tag = np.zeros(len(em), np.int64), best.argmax(1)
+        for t in range(int(lengths[0]) - 1, -1, -1):
+            m = going[t]
+            at = start[:m] + t
+            out[at] = tag[:m]
+            tag[:m] = back[at, tag[:m]]
+        return out
 
     # -------------------------------------------------------------- training
     def _crf(self, em: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -318,9 +325,31 @@ def trained(sentences: int = SENTENCES, seed: int = 13) -> Tagger:
 
 
 # ------------------------------------------------------------------ tagging whole texts
+def joined_emissions(tagger: Tagger, every: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Emissions of the middles of windows (windows x WINDOW symbols), one after the other.
+
+    A character's emissions are the mean of those of the windows that hold it, weighed by its distance from the
+    window's edge; ``follows`` tells which windows overlap the one before.
+    """
+    half, quarter = WINDOW // 2, WINDOW // 4
+    weight = (half - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2)).astype(np.float32)[:, None]
+    total = np.zeros((len(every), half, TAGS), np.float32)
+    parts = np.tile(weight[quarter : quarter + half, 0], (len(every), 1))
+    for a in range(0, len(every), 1024):
+        em = tagger.emissions(every[a : a + 1024]).transpose(1, 0, 2) * weight
+        total[a : a + 1024] += em[:, quarter : quarter + half]
+        left = np.flatnonzero(follows[a : a + 1024])
+        total[left + a - 1, quarter:] += em[left, :quarter]
+        right = np.flatnonzero(follows[a + 1 : a + 1 + len(em)])
+        total[right + a + 1, :quarter] += em[right, -quarter:]
+    parts[np.flatnonzero(follows) - 1, quarter:] += weight[:quarter, 0]
+    parts[follows, :quarter] += weight[-quarter:, 0]
+    return (total / parts[:, :, None]).reshape(-1, TAGS)
+
+
 def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
     """The tagger's spans in each text."""
-    half, jobs, rows = WINDOW // 2, [], []
+    half, jobs, rows, follows = WINDOW // 2, [], [], []
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -331,12 +360,14 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
         if len(near):
             at = near[:, None] * half - half // 2 + np.arange(WINDOW)
             rows.append(np.where((at >= 0) & (at < len(c)), c[np.clip(at, 0, len(c) - 1)], 0))
+            follows.append(np.concatenate(([False], np.diff(near) == 1)))
             jobs.append((i, near, len(c)))
     out: list[list[Span]] = [[] for _ in texts]
     if not jobs:
         return out
-    every = np.concatenate(rows)
-    got = np.concatenate([tagger.decode(every[k : k + 1024]) for k in range(0, len(every), 1024)])[:, half // 2 : half // 2 + half]
+    chained = np.concatenate(follows)
+    runs = np.diff(np.append(np.flatnonzero(~chained), len(chained))) * half
+    got = tagger.decode(joined_emissions(tagger, np.concatenate(rows), chained), runs).reshape(-1, half)
     first = 0
     for i, near, n in jobs:
         own = got[first : first + len(near)].ravel()
@@ -371,10 +402,18 @@ def plausible(kind: str, piece: str) -> bool:
 
 def merged(text: str, base: list[Span], found: list[Span]) -> list[Span]:
     """All spans: the patterns' and those the tagger adds beside them."""
-    taken = sorted((a, b) for _, a, b in base)
+    starts, stops = [], []  # of what the patterns cover, without overlaps
+    for a, b in sorted((a, b) for _, a, b in base):
+        if stops and a < stops[-1]:
+            stops[-1] = max(b, stops[-1])
+        else:
+            starts.append(a)
+            stops.append(b)
     out = list(base)
-    for kind, a, b in sorted(found, key=lambda s: s[1:]):
-        if plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken) and not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()):
+    for kind, a, b in found:
+        k = bisect_left(starts, b) - 1
+        free = (k < 0 or stops[k] <= a) and not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
+        if free and plausible(kind, text[a:b]):
             out.append((kind, a, b))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
