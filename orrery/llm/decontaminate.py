@@ -6,7 +6,8 @@ windows form a hash set: a table of slots by the hash of a window's first three
 each holding the windows that start so.  It is broadcast as one value, whose size is checked
 first; documents are then scanned inside their own row with built-in functions, so nothing is
 shuffled, no row is made for a hit, and a hot passage costs no more than a rare one.  Above the
-bound the windows stay a table and the documents' windows are joined with it by hash.
+bound the windows stay a table and the documents' windows are joined with it by hash.  Very long texts
+are read whole; what is held at once is one text's words and, in the join, its windows.
 
 Nulls: a null text has no words, so neither hits nor contamination; a null item id counts as an
 item named ``""``.  Empty tables give no rows, or no hits.  Repeated rows are each judged alone, and
@@ -21,12 +22,14 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shield
+from .common import Shield, marked, settled
 
 WIDTH = 13
 #: Largest set of windows that is broadcast: about 10 MB.
 BROADCAST_WINDOWS = 100_000
 _ANCHOR = 3
+#: Parts that a window or text is dealt to that may be everywhere.
+SALTS = 16
 _HITS = "array<struct<at:int,len:int,items:array<string>>>"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,7 +81,7 @@ def _hits_broadcast(docs: DataFrame, wins: DataFrame, count: int) -> DataFrame:
         chains[h % slots].append({"w": w, "items": items})
     # folded to plain values once, in the plan, which reaches executors as a broadcast
     tbl = F.from_json(F.lit(json.dumps(chains)), "array<array<struct<w:array<string>,items:array<string>>>>")
-    marked = F.from_json(F.lit(json.dumps([bool(c) for c in chains])), "array<boolean>")
+    used = F.from_json(F.lit(json.dumps([bool(c) for c in chains])), "array<boolean>")
     ws = F.col("_ws")
 
     def of_size(k: int) -> Column:
@@ -93,7 +96,7 @@ def _hits_broadcast(docs: DataFrame, wins: DataFrame, count: int) -> DataFrame:
 
             return F.transform(F.filter(F.get(tbl, slot(i)), fits), lambda e: F.struct(i.alias("at"), F.size(e["w"]).alias("len"), e["items"].alias("items")))
 
-        places = F.filter(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.get(marked, slot(i)))
+        places = F.filter(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.get(used, slot(i)))
         return F.flatten(F.transform(F.when(F.size(ws) >= k, places).otherwise(F.array().cast("array<int>")), matches))
 
     found = [of_size(k) for k in by_len]
@@ -101,16 +104,35 @@ def _hits_broadcast(docs: DataFrame, wins: DataFrame, count: int) -> DataFrame:
     return docs.withColumn("_hits", hits)
 
 
-def _hits_joined(docs: DataFrame, wins: DataFrame, width: int) -> DataFrame:
-    """The same by a shuffle join on the hash of the first words, for any number of windows."""
-    spread = wins.select(F.xxhash64(F.slice("w", 1, _ANCHOR)).alias("_h"), F.col("w").alias("_w"), "items")
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    starts = F.sequence(F.lit(0), F.size("_ws") - 1)
-    spots = keyed.where(F.size("_ws") > 0).select("_row", F.posexplode(F.transform(starts, lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.get("_ws", i + j)), lambda x: x.isNotNull()))).alias("_at", "_ahead"))
-    some = spots.select("_row", "_at", "_ahead", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(_ANCHOR)), lambda n: F.xxhash64(F.slice("_ahead", F.lit(1), n))))).alias("_h"))
-    hit = some.join(spread, "_h").where(F.slice("_ahead", F.lit(1), F.size("_w")) == F.col("_w"))
-    per = hit.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), F.size("_w").alias("len"), "items"))).alias("_hits"))
-    return keyed.join(per, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(_HITS))).drop("_row")
+def _hits_joined(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """The same by a shuffle join on the hash of whole windows, for any number of them.
+
+    Hits depend on the words alone, so they are found by the words' digest and copies of a text share them.
+    A window is shuffled only if its hash may be a benchmark window's, and a document only if it may have hits;
+    both sides of either join are dealt by ``SALTS`` besides, as one passage or text may be everywhere.
+    """
+    wins = settled(wins, "benchmark-windows")
+    ws, salts = F.col("_ws"), F.array(*[F.lit(k) for k in range(SALTS)])
+    sizes = [r.n for r in wins.select(F.size("w").alias("n")).distinct().orderBy("n").collect()]  # at most the width of a window
+    if not sizes:
+        return docs.withColumn("_hits", F.array().cast(_HITS))
+
+    def of_size(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.struct(i.alias("at"), F.slice(ws, i + 1, n).alias("w")))
+        return F.when(F.size(ws) >= n, every).otherwise(F.array().cast("array<struct<at:int,w:array<string>>>"))
+
+    keyed = docs.withColumn("_digest", F.sha2(F.array_join(ws, " "), 256))
+    spots = keyed.select("_digest", F.explode(F.concat(*map(of_size, sizes))).alias("_spot")).select("_digest", "_spot.*").withColumn("_h", F.xxhash64("w"))
+    spots = marked(spots, F.col("_h"), wins.select(F.xxhash64("w").alias("h"))).where("marked").withColumn("_salt", F.pmod(F.xxhash64("_digest", "at"), F.lit(SALTS)).cast("int"))
+    spread = wins.select(F.xxhash64("w").alias("_h"), F.col("w").alias("_w"), "items", F.explode(salts).alias("_salt"))
+    hit = spots.join(spread, ["_h", "_salt"]).where(F.col("w") == F.col("_w"))
+    per = settled(hit.groupBy("_digest").agg(F.array_sort(F.collect_set(F.struct("at", F.size("w").alias("len"), "items"))).alias("_hits")), "benchmark-hits")
+    rows = marked(keyed, F.xxhash64("_digest"), per.select(F.xxhash64("_digest").alias("h")))
+    # a copy's salt is that of its part of the input, which a repeated task reads again
+    some = rows.where("marked").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    some = some.join(per.withColumn("_salt", F.explode(salts)), ["_digest", "_salt"], "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(_HITS)))
+    none = rows.where("not marked").withColumn("_hits", F.array().cast(_HITS))
+    return none.unionByName(some.drop("_salt")).drop("_digest", "marked")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -122,7 +144,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     count = wins.limit(broadcast_windows + 1).count()
     shield = Shield(docs, "text")
     base = shield.inner.withColumn("_ws", words(F.col("text")))
-    found = _hits_broadcast(base, wins, count) if count <= broadcast_windows else _hits_joined(base, wins, width)
+    found = _hits_broadcast(base, wins, count) if count <= broadcast_windows else _hits_joined(base, wins)
     found = found.withColumns({"_n": F.size("_ws").cast("bigint"), "_hit": _covered(F.col("_hits")).cast("bigint")})
     return shield.restore(
         found, n_words=F.col("_n"), n_hit=F.col("_hit"), items=F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"])))),
