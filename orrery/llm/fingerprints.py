@@ -7,20 +7,24 @@ ln c - r (t - b + 1) is the sample, and two documents agree on (word, t) with a
 their generalised Jaccard similarity.  A fingerprint keeps 16 bits of each sample; the likeness of two
 is the share of places in which they agree.
 
-Plan: texts are shuffled once, by ranges of doc_id.  The neighbour in descending order is a ``lead``
-within a range, and for a range's last row the first row of the range below.  Words are exploded, counted
+Plan: texts are shuffled once, by ranges of doc_id and, for an id of many rows, of a hash of the text; a
+range is found by binary search among the bounds.  The neighbour in descending order is a ``lead``
+within a range, and for a range's last row as much as it needs of the first row of the range below.  Words are exploded, counted
 and reduced to minima inside the same partitioning, without another shuffle; the samples are wide
 columns of plain arithmetic and table look-ups, and their minima are aggregated as integers whose
 leading bits are the quantity to minimise and whose last bits name (word, t).
 
-Nulls: a null text is empty; a null doc_id comes last in descending order.  A text without words has
-one empty word, so all such texts agree.  Rows with the same doc_id are ordered by text and stay apart;
-a single row is its own neighbour; an empty table gives no rows.  Other columns are ignored.
+Nulls: a null text is empty; a null doc_id counts as the least long, so it comes last in descending order.
+A text without words has one empty word, so all such texts agree.  Rows with the same doc_id are ordered
+by a hash of the text, then by the text, and stay apart; a single row is its own neighbour; an empty table
+gives no rows.  A text is held whole by the task that works on it, however long.  Rows equal in doc_id and
+text share a range.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,11 +48,42 @@ def _table(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def _ranges(docs: DataFrame, count: int) -> list[int]:
-    """Bounds that split doc_id into about equal ranges: ``count`` numbers, whatever the table's size."""
+def _longs(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _keys(docs: DataFrame) -> list[Column]:
+    """What rows are ordered by, rising: doc_id from the greatest to the least with null as the least long, then a hash of the text."""
+    return [F.coalesce(F.bitwise_not(F.col("doc_id").cast("bigint")), F.lit((1 << 63) - 1)), F.shiftrightunsigned(F.xxhash64("text"), 1)]
+
+
+def _ranges(rows: DataFrame, count: int) -> list[tuple[int, int]]:
+    """Bounds of about equal ranges of ``_k`` and ``_h``: ``count`` - 1 pairs, whatever the table's size.
+
+    A value that is several bounds at once fills ranges of its own; the hash of the text splits them.
+    """
     at = [i / count for i in range(1, count)]
-    row = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), at or [0.5], 10_000)).first()
-    return sorted(set(row[0] or []))
+    found = rows.agg(F.percentile_approx("_k", at, max(10_000, 4 * count))).first()[0] if at else None
+    times = Counter(found or [])
+    hot = [v for v, n in times.items() if n > 1]
+    # quantiles are doubles inside: of longs that are one double the most frequent is meant
+    near = rows.where(F.col("_k").cast("double").isin([float(v) for v in hot])).groupBy(F.col("_k").cast("double").alias("d")).agg(F.mode("_k", True).alias("k")) if hot else None
+    exact = {r.d: r.k for r in near.collect()} if hot else {}  # a row a bound at most
+    return sorted((exact.get(float(v), v), j * (1 << 63) // n) for v, n in times.items() for j in range(n))
+
+
+def _range_of(bounds: list[tuple[int, int]]) -> Column:
+    """How many bounds come before a row, or at it: a binary search."""
+    if not bounds:
+        return F.lit(0)
+    first, second = _longs([k for k, _ in bounds]), _longs([h for _, h in bounds])
+
+    def step(at: Column, by: Column) -> Column:
+        k, h = F.get(first, at + by - 1), F.get(second, at + by - 1)  # null beyond the last
+        return F.when((k < F.col("_k")) | (k == F.col("_k")) & (h <= F.col("_h")), at + by).otherwise(at)
+
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def _words(text: Column) -> Column:
@@ -56,19 +91,20 @@ def _words(text: Column) -> Column:
 
 
 def _with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, Column]:
-    """_part, _nth, doc_id, text, n_chars and the text that replaces its end."""
-    bounds = _ranges(docs, parts)
-    # the range's number falls as doc_id rises, so ranges and rows run in the same direction
-    below = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b >= F.col("doc_id")))
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(below)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """_part, _nth, doc_id, text, n_chars and what replaces its end: the next text, or as much of it as is needed."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    k, h = _keys(docs)
+    bounds = _ranges(docs.select(k.alias("_k")), parts)
+    rows = docs.withColumns({"_k": k, "_h": h})
     # a range is a task: its name hashes to its own number, while hashes of the numbers would put several into one
-    names = _names(docs.sparkSession, len(bounds) + 2)
-    rows = rows.withColumn("_part", F.coalesce(F.get(names, part), F.lit(0))).repartition(len(bounds) + 2, "_part")
-    order = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    rows = rows.withColumns({"_nth": F.row_number().over(order), "_lead": F.lead("text").over(order)})
+    names = _names(docs.sparkSession, len(bounds) + 1)
+    rows = rows.withColumn("_part", F.coalesce(F.get(names, _range_of(bounds)), F.lit(0))).repartition(len(bounds) + 1, "_part")
+    order = Window.partitionBy("_part").orderBy("_k", "_h", "text")
+    rows = rows.withColumns({"_nth": F.row_number().over(order), "_lead": F.lead("text").over(order)}).drop("_k", "_h")
+    lasts = rows.where("_lead is null").select("_part", F.floor(F.length("text") / 2).cast("int").alias("_need"))
     heads = rows.where("_nth = 1").select("_part", F.col("text").alias("_head"))
-    return rows.join(_following(heads, "_head", names), "_part").withColumn("next", F.coalesce("_lead", "_head")).drop("_lead", "_head"), names
+    after = _following(lasts, heads, names).select("_part", F.substring("_head", F.lit(1), F.col("_need")).alias("_head"))
+    return rows.join(after, "_part").withColumn("next", F.coalesce("_lead", "_head")).drop("_lead", "_head"), names
 
 
 def _names(spark: SparkSession, count: int) -> Column:
@@ -78,11 +114,15 @@ def _names(spark: SparkSession, count: int) -> Column:
     return F.array(*[F.lit(found.get(k, 64 * count + k)) for k in range(count)])
 
 
-def _following(heads: DataFrame, value: str, names: Column) -> DataFrame:
-    """For each range the ``value`` of the range after it, and of the first for the last: a row a range."""
+def _following(ranges: DataFrame, heads: DataFrame, names: Column) -> DataFrame:
+    """``ranges`` with the other columns of ``heads`` for the range after, and of the first for the last.
+
+    Only the ranges' names, a number each, come into one task; what they hold is joined.
+    """
     nth = Window.orderBy(F.array_position(names, F.col("_part")))
-    ring = heads.withColumns({"_after": F.lead(value).over(nth), "_first": F.first(value).over(nth.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    return ring.select("_part", F.coalesce("_after", "_first").alias(value))
+    whole = nth.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ring = ranges.select("_part").withColumn("_after", F.coalesce(F.lead("_part").over(nth), F.first("_part").over(whole)))
+    return ranges.join(ring, "_part").join(heads.withColumnRenamed("_part", "_after"), "_after").drop("_after")
 
 
 def _samples(h: Column, weight: Column, samples: int) -> list[Column]:
@@ -143,7 +183,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, parts: int | None = No
 
     order = Window.partitionBy("_part").orderBy("_nth")
     heads = marks.where("_nth = 1").select("_part", F.col("f0").alias("_head"))
-    marks = marks.withColumn("_lead", F.lead("f0").over(order)).join(_following(heads, "_head", names), "_part")
+    marks = marks.withColumn("_lead", F.lead("f0").over(order)).join(_following(heads.select("_part"), heads, names), "_part")
     facts = rows.select("_part", "_nth", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
 
     def text(f: str) -> Column:
