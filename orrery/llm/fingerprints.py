@@ -183,7 +183,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, parts: int | None = No
 
     order = Window.partitionBy("_part").orderBy("_nth")
     heads = marks.where("_nth = 1").select("_part", F.col("f0").alias("_head"))
-    marks = marks.withColumn("_lead", F.lead("f0").over(order)).join(_following(heads.select("_part"), heads, names), "_part")
+    marks = marks.withColumn("_lead", F.lead("f0").over(order)).join(_following(rows.where("_nth = 1").select("_part"), heads, names), "_part")
     facts = rows.select("_part", "_nth", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
 
     def text(f: str) -> Column:
