@@ -168,16 +168,25 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, parts: int | None = No
 
     both = rows.select("_part", "_nth", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x"))
     words = both.select("_part", "_nth", "x.which", F.explode_outer(_words(F.col("x.t"))).alias("word"))
-    counted = words.groupBy("_part", "_nth", "which", F.xxhash64("word").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    # a word that both texts hold equally often draws once for both
+    counts = words.groupBy("_part", "_nth", F.xxhash64("word").alias("h")).agg(*[F.count(F.when(F.col("which") == k, 1)).alias(f"n{k}") for k in (0, 1)])
+    kinds = [F.struct(F.lit(k).alias("which"), n.alias("n")) for k, n in ((2, F.col("n0")), (0, F.col("n0")), (1, F.col("n1")))]
+    own = F.when(F.col("n1") == 0, F.array(kinds[1])).when(F.col("n0") == 0, F.array(kinds[2])).otherwise(F.array(*kinds[1:]))
+    counted = counts.select("_part", "_nth", "h", F.explode(F.when(F.col("n0") == F.col("n1"), F.array(kinds[0])).otherwise(own)).alias("x")).select("_part", "_nth", "x.which", "h", "x.n")
     # a row draws _GROUP samples, not all: a longer method of generated code is never compiled
     groups = range(-(-samples // _GROUP))
     weighted = counted.select("_part", "_nth", "which", "h", F.coalesce(F.ln(F.col("n").cast("double")), F.lit(0.0)).alias("w"), F.explode(F.array(*map(F.lit, groups))).alias("g"))
     drawn = weighted.select("_part", "_nth", "which", "g", F.xxhash64("h", "g").alias("hg"), "w").select("_part", "_nth", "which", "g", *_samples(F.col("hg"), F.col("w"), _GROUP))
     least = drawn.groupBy("_part", "_nth", "which", "g").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(_GROUP)])
-    short = least.select("_part", "_nth", "which", "g", F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(_GROUP)]).alias("f"))
+
+    def marked(which: int) -> Column:
+        own = [F.min(F.when(F.col("which") != 1 - which, F.col(f"s{k}"))) for k in range(_GROUP)]
+        return F.array(*[s.bitwiseAND(F.lit(0xFFFF)).cast("int") for s in own]).alias(f"m{which}")
+
+    short = least.groupBy("_part", "_nth", "g").agg(marked(0), marked(1))
 
     def whole(which: int) -> Column:
-        return F.slice(F.concat(*[F.any_value(F.when((F.col("which") == which) & (F.col("g") == g), F.col("f")), True) for g in groups]), 1, samples)
+        return F.slice(F.concat(*[F.any_value(F.when(F.col("g") == g, F.col(f"m{which}")), True) for g in groups]), 1, samples)
 
     marks = short.groupBy("_part", "_nth").agg(whole(0).alias("f0"), whole(1).alias("f1"))
 
