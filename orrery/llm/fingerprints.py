@@ -99,6 +99,8 @@ def _with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, Column]:
     # a range is a task: its name hashes to its own number, while hashes of the numbers would put several into one
     names = _names(docs.sparkSession, len(bounds) + 1)
     rows = rows.withColumn("_part", F.coalesce(F.get(names, _range_of(bounds)), F.lit(0))).repartition(len(bounds) + 1, "_part")
+    # the order's columns are made again after the shuffle: every use of the rows then reads the same shuffled columns, so that there is one shuffle
+    rows = rows.select("_part", "doc_id", "text").withColumns({"_k": k, "_h": h})
     order = Window.partitionBy("_part").orderBy("_k", "_h", "text")
     rows = rows.withColumns({"_nth": F.row_number().over(order), "_lead": F.lead("text").over(order)}).drop("_k", "_h")
     lasts = rows.where("_lead is null").select("_part", F.floor(F.length("text") / 2).cast("int").alias("_need"))
