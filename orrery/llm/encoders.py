@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words remembered by a worker (about 250 MB); further ones are kept for their batch only, which
+#: Words remembered by a worker (about 110 MB); further ones are kept for their batch only, which
 #: costs time, not results.
-MAX_WORDS = 1_400_000
+MAX_WORDS = 600_000
 #: Marks between a letter and white space: a word of their own to the tokenizer.
 _TAIL = r"([a-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)(\s|$)"
 #: Words whose number of tokens with word end is known: one of letters, one of marks after them.
