@@ -41,3 +41,11 @@ def test_dense_route_equals_plain_search(spark, monkeypatch):
     assert routing._Grid(nodes, 45.0).depth >= 0
     for a, b in ((0, 1), (13, 701)):
         assert routing.shortest(nodes, 45.0, {a: 0}, {b: 0}) == plain_route(points, reach, {a: 0}, {b: 0})
+
+
+def test_levels_look_among_nodes_that_are_left(spark, monkeypatch):
+    line = spark.createDataFrame([(i, f"S{i}", 10.0 * i, 0.0, 0.0) for i in range(6)], SCHEMA)
+    looked, linked = [], routing._Grid.linked
+    monkeypatch.setattr(routing._Grid, "linked", lambda self, nodes, *rest: looked.append(nodes.count()) or linked(self, nodes, *rest))
+    assert {tuple(r) for r in routing.depths(line, 0, 10.0).collect()} == {(i, i) for i in range(6)}
+    assert looked == [5, 4, 3, 2, 1, 0]

@@ -23,6 +23,11 @@ def test_codes(spark):
     assert spark.createDataFrame([(None, 1.0, 1.0)], "x double, y double, z double").select(layout.code(F.col("x"), F.col("y"), F.col("z"))).first()[0] is None
 
 
+def test_a_code_computes_each_cell_once(spark):
+    plan = spark.range(1).select(*[F.rand(k).alias(c) for k, c in enumerate("xyz")]).select(layout.code(F.col("x"), F.col("y"), F.col("z")).alias("c"))
+    assert plan._jdf.queryExecution().analyzed().toString().lower().count("floor(") == 3
+
+
 def test_ranges_cover_regions():
     rng = random.Random(2)
     for _ in range(30):
