@@ -13,7 +13,9 @@ or the second half of the shorter word as it is, so the join's key also names a
 letters; each near pair meets in exactly one of the two.
 
 Words are counted in one aggregation with partial sums, so a frequent word is one row a task before the
-shuffle.  Each word has at most as many near words as there are edits of it.
+shuffle.  Each word has at most as many near words as there are edits of it.  Joins say that they merge: by the
+compressed files, which is all that Spark knows, it would broadcast tables that are a hundred times as large once
+letters and halves are exploded.
 
 Nulls: a null text has no words; a null doc_id is written as nothing in the hash.  Repeated rows count
 each time.  Ties between near words of equal count go to the smallest in code-point order.  An empty
@@ -89,8 +91,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = lambda w: F.substring(w, F.lit(1), F.shiftright(F.col("size"), 1))
     once = (F.col("half") == 0) | (first(a) != first(b))  # a pair that shares both halves meets in the first
     apart = once & one_edit(a, b)
-    exchanged = side(reduced, F.col("len"), "a").join(side(reduced, F.col("len"), "b"), on).where((a != b) & apart)
-    shorter = side(known, F.col("len"), "a").join(side(reduced, F.col("len") - 1, "b"), on).where(apart)
+    exchanged = side(reduced, F.col("len"), "a").join(side(reduced, F.col("len"), "b").hint("merge"), on).where((a != b) & apart)
+    shorter = side(known, F.col("len"), "a").join(side(reduced, F.col("len") - 1, "b").hint("merge"), on).where(apart)
     pairs = shorter.select("a", "b", "na", "nb")
     return exchanged.select("a", "b", "na", "nb").unionAll(pairs).unionAll(pairs.select(b.alias("a"), a.alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
 
@@ -99,7 +101,7 @@ def forms(words: DataFrame) -> DataFrame:
     """word, n, n_near, form and form_n: the near word of largest count, where it counts ``TIMES`` as much."""
     best = F.min(F.struct((-F.col("nb")).alias("less"), F.col("b")))
     near = near_pairs(words).groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    rows = words.join(near.withColumnRenamed("a", "word"), "word", "left")
+    rows = words.join(near.withColumnRenamed("a", "word").hint("merge"), "word", "left")
     more = -F.col("best.less") >= TIMES * F.col("n")
     return rows.select("word", "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.when(more, F.col("best.b")).alias("form"), F.when(more, -F.col("best.less")).alias("form_n"))
 
@@ -112,10 +114,10 @@ def variants(docs: DataFrame) -> DataFrame:
     rows = settled(forms(settled(word_counts(docs), "counts")), "forms")
     steps = rows.where("form is not null").select("word", F.col("form").alias("root"))
     while True:
-        ahead = steps.join(steps.select(F.col("word").alias("root"), F.col("root").alias("beyond")), "root", "left")
+        ahead = steps.join(steps.select(F.col("word").alias("root"), F.col("root").alias("beyond")).hint("merge"), "root", "left")
         steps = settled(ahead.select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
         if steps.where("moved").isEmpty():
             break
         steps = steps.drop("moved")
     roots = steps.select("word", "root")
-    return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

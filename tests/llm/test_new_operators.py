@@ -222,3 +222,15 @@ def test_fit_of_long_documents():
         assert all(0 <= t <= c for t, c in zip(take, counts, strict=True)) and total <= budget
         # no document that was left out fits any more
         assert not any(t < c and n <= budget - total for n, t, c in zip(lengths, take, counts, strict=True))
+
+
+def test_variants_broadcast_nothing(spark):
+    """Files of words that are small on disk are large once letters and halves are exploded, so no join may go by their size."""
+    words = ["abcdef" + x + y for x in "abcdef" for y in "ghij"]
+    rows = [(i, " ".join(words)) for i in range(4)]
+    execs = spark._jsparkSession.sharedState().statusStore()
+    before = execs.executionsCount()
+    got = variants.variants(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.word for r in got.collect()} >= set(words)
+    plans = [execs.executionsList().apply(i).physicalPlanDescription() for i in range(before, execs.executionsCount())]
+    assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
